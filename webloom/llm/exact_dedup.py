@@ -20,10 +20,10 @@ def digest(text: str = "text"):
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def with_groups(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def with_groups(rows: DataFrame, key: str = "doc_id", hashed: str = "digest") -> DataFrame:
     """rows: (key, digest). Adds keep_id, the smallest key of the digest, and group_size."""
-    groups = rows.groupBy("digest").agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "digest")
+    groups = rows.groupBy(hashed).agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(groups, hashed)
 
 
 class DigestIndex:
@@ -58,10 +58,13 @@ class DigestIndex:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, whole: of equal texts, one row with the smallest key (of such rows that are equal in both, one)."""
-    keys = docs.select(F.col(key).alias("_key"), digest(text).alias("_digest"))
-    kept = keys.groupBy("_digest").agg(F.min("_key").alias("_key"))
-    dropped_or_doubled = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    doubled = dropped_or_doubled.where("_n > 1").select("_key")
-    out = docs.withColumn("_digest", digest(text)).join(kept.withColumnRenamed("_key", "_keep"), "_digest").where(F.col(key).eqNullSafe(F.col("_keep")))
-    return out.dropDuplicates([key, "_digest"]).select(*docs.columns) if doubled.limit(1).count() else out.select(*docs.columns)
+    """The rows that stay, whole: of equal texts, the row with the smallest key (of rows that are equal in both, one). Rows without a key stay."""
+    from .common import materialize
+
+    keys = materialize(docs.select(F.col(key).cast("bigint").alias("_key"), digest(text).alias("_digest")), "digests")
+    dropped = with_groups(keys, "_key", "_digest").where("_key <> keep_id").select("_key", "_digest")
+    if keys.where("_key is not null").groupBy("_key").count().where("count > 1").limit(1).count():
+        marked = docs.withColumn("_digest", digest(text)).withColumn("_key", F.col(key).cast("bigint"))
+        once = marked.where("_key is not null").join(dropped.distinct(), ["_key", "_digest"], "left_anti").dropDuplicates(["_key", "_digest"])
+        return once.unionByName(marked.where("_key is null")).select(*docs.columns)
+    return docs.join(dropped.select("_key"), F.col(key).cast("bigint") == F.col("_key"), "left_anti")

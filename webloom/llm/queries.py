@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, token_store
+from . import bpe, exact_dedup, near_dedup, token_store
 from .common import materialize, scratch, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
         return f"{VOCABULARIES}/{name}"
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against an index that begins empty: its group, and which row stays."""
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_minhash_dedup": op2_minhash_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_token_store": op7_token_store,
         "op10_byte_bpe": op10_byte_bpe,
