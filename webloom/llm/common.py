@@ -97,7 +97,7 @@ def write_once(uri: str, chunks) -> int:
     filesystem.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     n = 0
-    with filesystem.open_output_stream(part) as out:
+    with filesystem.open_output_stream(part, compression=None) as out:
         for c in chunks:
             out.write(c)
             n += len(c)
@@ -107,7 +107,7 @@ def write_once(uri: str, chunks) -> int:
 
 def read_all(uri: str) -> bytes:
     filesystem, path = open_fs(uri)
-    with filesystem.open_input_stream(path) as f:
+    with filesystem.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

@@ -38,12 +38,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]: a polynomial of its bytes modulo 2**64, mixed."""
+def span_hasher(data: np.ndarray):
+    """A function of (starts, ends) that gives a 64-bit hash of each data[start:end]: a polynomial of its bytes modulo 2**64, mixed."""
     fwd, inv = _power_tables(len(data) + 1)
     c = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * fwd[: len(data)], out=c[1:])
-    return mix((c[ends] - c[starts]) * inv[starts])
+    return lambda starts, ends: mix((c[ends] - c[starts]) * inv[starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
 
 
 def chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
