@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, token_store, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, near_dedup, token_store, toxicity, url_filter, warc
 from .common import materialize, scratch, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -50,6 +50,31 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(), url_filter.RULES)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, CAST(len(w) - least(13, len(w)) + 2 AS BIGINT))) AS s FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM bw
+), dw AS (
+  SELECT r, s, size, array_to_string(w[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT r, w, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS s FROM d, sizes WHERE len(w) >= size)
+), hit AS (SELECT DISTINCT r, s, size, item_id FROM dw JOIN bw USING (size, phrase)
+), p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS p FROM hit) GROUP BY r
+), i AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN i USING (r)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -85,6 +110,7 @@ def queries() -> dict:
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_decontaminate": op5_decontaminate,
         "op6_toxicity": op6_toxicity,
         "op7_token_store": op7_token_store,
         "op9_warc": op9_warc,
@@ -93,4 +119,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_warc": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
