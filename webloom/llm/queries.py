@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, token_store, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, near_dedup, pii, token_store, toxicity, url_filter, warc
 from .common import materialize, scratch, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -84,6 +84,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), pii.fit(spark))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -113,6 +117,7 @@ def queries() -> dict:
         "op5_decontaminate": op5_decontaminate,
         "op6_toxicity": op6_toxicity,
         "op7_token_store": op7_token_store,
+        "op8_pii": op8_pii,
         "op9_warc": op9_warc,
         "op10_byte_bpe": op10_byte_bpe,
     }
