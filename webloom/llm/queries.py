@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, pii, token_store, toxicity, url_filter, warc
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, pii, token_store, toxicity, url_filter, warc
 from .common import materialize, scratch, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
         return f"{VOCABULARIES}/{name}"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.fit())
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -109,8 +113,15 @@ FROM f
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op2_minhash_dedup": op2_minhash_dedup,
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
@@ -120,6 +131,7 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_warc": op9_warc,
         "op10_byte_bpe": op10_byte_bpe,
+        "pipeline": pipeline,
     }
 
 
