@@ -4,12 +4,13 @@ A document's set holds its distinct word shingles (of fewer words than one takes
 the set is empty and linked with nothing). Documents are linked when the Jaccard similarity of their full sets is at least
 the threshold. `BANDS` bands of `ROWS` minima miss a pair at similarity 0.8 with a chance of about 1e-7.
 
-The work on a group stays in proportion to its size:
+The work on a group follows its size, and pairs are confirmed best first, so that most are never looked at:
 1. documents of equal sets become one class (partial aggregation), and only a class's first document goes on;
 2. in each band's bucket, every class is compared with the bucket's least class and with its greatest, not with all others;
-   pairs whose signatures are far below the threshold are left out, the rest are confirmed on full sets;
-3. after the components of these links, only buckets whose classes lie in different components are looked at again: small
-   ones pair by pair over their components, larger ones split by further minima and start at 2.
+   pairs whose signatures are far below the threshold are left out; of the rest, each class's best pair is confirmed on full
+   sets, then the next ones, as long as they would join different components;
+3. only buckets whose classes then lie in different components are looked at again, in blocks of bounded size, where
+   signatures are compared in memory and only similar pairs over two components come out; these are confirmed as before.
 No bucket, partner or candidate is dropped, whatever its size.
 
 Rows that share a doc_id count as one document. Null text has an empty set. Result columns replace columns of those names.
@@ -21,13 +22,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship
+from .common import discard, materialize, ship, size_bounded, sweep
 from .components import components
 from .spans import chunks, lower_ascii, mix, span_hashes, word_spans
 
 BANDS, ROWS = 40, 5
-#: Buckets of so many classes at most are paired over their components; larger ones are split.
-SMALL = 24
+#: Classes of a bucket that are compared in memory at a time.
+BLOCK = 512
+#: Document ids up to which the documents to be confirmed are picked by a broadcast of their ids (8 bytes each), else by a join.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,24 +135,63 @@ def full_sets(docs: DataFrame, words: int, key: str = "doc_id", text: str = "tex
     return docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` bigint, shingles binary")
 
 
+def _least_agreement(threshold: float) -> float:
+    """So many equal signature bytes a pair at the threshold has, but for three cases in a million."""
+    k = BANDS * ROWS
+    chance = threshold + (1 - threshold) / 256
+    return k * chance - 4.5 * (k * chance * (1 - chance)) ** 0.5
+
+
 def _similar_signatures(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in so many minima as a pair at the threshold has but once in a hundred million times, and whose sizes allow the threshold."""
+    """(a, b, met: equal signature bytes) of the pairs whose signatures and sizes allow the threshold."""
     import pyarrow as pa
 
-    k = BANDS * ROWS
-    chance = threshold + (1 - threshold) / 256
-    least = k * chance - 6 * (k * chance * (1 - chance)) ** 0.5
+    k, least = BANDS * ROWS, _least_agreement(threshold)
 
     def run(batches):
         for t in batches:
             if not t.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            met = (x == y).sum(1)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(met.astype(np.int32))], names=["a", "b", "met"]).filter(pa.array(met >= least))
 
     side = lambda c: sketch.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint, met int")
+
+
+def _across(mixed: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """mixed: (bucket, rep, component, n: classes of the bucket). The similar pairs (a, b, met) over two components of a bucket. Large buckets are cut into blocks, and every two blocks meet in a group of bounded size."""
+    import pyarrow as pa
+
+    k, least = BANDS * ROWS, _least_agreement(threshold)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32())])
+
+    def run(t):
+        rep, comp, block, size = (t.column(c).to_numpy() for c in ("rep", "component", "block", "n_shingles"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, k)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        out: list[list[np.ndarray]] = [[], [], []]
+        left = np.flatnonzero(block == i)
+        right = np.flatnonzero(block == j)
+        for x in left.tolist():
+            y = right[(comp[right] != comp[x]) & (np.minimum(size[right], size[x]) >= threshold * np.maximum(size[right], size[x]) - 1e-9)]
+            if i == j:
+                y = y[y > x]
+            met = (sig[y] == sig[x]).sum(1)
+            y, met = y[met >= least], met[met >= least]
+            out[0].append(np.minimum(rep[y], rep[x]))
+            out[1].append(np.maximum(rep[y], rep[x]))
+            out[2].append(met)
+        none = np.zeros(0, np.int64)
+        return pa.Table.from_arrays([pa.array(np.concatenate([none, *out[0]]), pa.int64()), pa.array(np.concatenate([none, *out[1]]), pa.int64()), pa.array(np.concatenate([none, *out[2]]).astype(np.int32))], schema=schema)
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = mixed.join(sketch.select("rep", "n_shingles", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    spread = cut.select("*", other.alias("o")).select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "component", "n_shingles", "sig")
+    return spread.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint, met int")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
@@ -168,15 +210,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
-    own = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).join(ids, key, "left_semi")
+    ids = materialize(pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct(), "ids")
+    own = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).join(F.broadcast(ids) if size_bounded(ids, BROADCAST_IDS) else ids, key, "left_semi")
     sets = materialize(full_sets(own, words, key, text), "shingle-sets")
     side = lambda c: sets.select(F.col(key).alias(c), F.col("shingles").alias(f"s_{c}"))
-    found = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    found = materialize(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
     discard(sets)
+    sweep(docs.sparkSession)
     return found
 
 
+def _linked(candidates: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Confirm candidates (a, b, met), best first, until none joins two components. The links (u, v) so far, and their components."""
+    label = materialize(components(links), "labels")
+    rest = candidates
+    for most in (1, 4, None):
+        part = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        rest = materialize(rest.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "met"), "open")
+        if not rest.limit(1).count():
+            break
+        if most is None:
+            chosen = rest
+        elif most == 1:
+            best = rest.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m"))
+            chosen = best.select("m.a", "b")
+        else:
+            span = rest.groupBy("b").agg(F.array_sort(F.collect_set("met")).alias("all"))  # at most as many values as minima
+            chosen = rest.join(span.select("b", F.element_at("all", F.greatest(F.size("all") - most + 1, F.lit(1))).alias("from")), "b").where(F.col("met") >= F.col("from")).select("a", "b")
+        chosen = materialize(chosen, "chosen")
+        found = _confirmed(chosen, docs, words, percent, key, text)
+        rest = rest.join(chosen, ["a", "b"], "left_anti")
+        links = materialize(links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
+        label = materialize(components(links), "labels")
+    return links, label
+
+
 def _stars(buckets: DataFrame) -> DataFrame:
     """buckets: (bucket, rep). Pairs (a < b) of each class with its bucket's least and greatest class. Both are found by partial aggregation; the join back splits hot buckets."""
     ends = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
@@ -184,68 +252,33 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return linked.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
 
 
-def _split(mixed: DataFrame, sketch: DataFrame, level: int) -> DataFrame:
-    """Buckets of a bucket: its classes by ROWS further signature bytes of each of BANDS choices."""
-    rng = np.random.default_rng(7 + level)
-    parts = []
-    for i in range(BANDS):
-        at = rng.choice(BANDS * ROWS, ROWS, replace=False)
-        parts.append(F.xxhash64(F.col("bucket"), F.lit(i), F.concat(*[F.substring("sig", int(k) + 1, 1) for k in at])))
-    return mixed.join(sketch.select("rep", "sig"), "rep").select("rep", F.explode(F.array(*parts)).alias("bucket"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", most_levels: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id: least key reachable over links, kept: whether the row is that one), a row for each row of docs."""
     sketch = materialize(sketches(docs, words, key, text), "sketches")
     classes = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min(key).alias("rep"))
-    reps = materialize(sketch.where("n_shingles > 0").join(classes, "digest").where(F.col(key) == F.col("rep")).select("rep", "digest", "n_shingles", "sig", "bands").dropDuplicates(["rep", "digest"]), "classes")
+    member = materialize(sketch.select(key, "n_shingles", "digest").join(classes, "digest", "left").select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "digest"), "members")
+    firsts = member.where(F.col(key) == F.col("rep")).select("rep", "digest").distinct()
+    reps = materialize(sketch.join(firsts, (F.col(key) == F.col("rep")) & (sketch["digest"] == firsts["digest"]), "left_semi").select(F.col(key).alias("rep"), "n_shingles", "sig", "bands").dropDuplicates(["rep", "n_shingles", "sig"]), "classes")
+    # Rows that share a key tie their classes together.
+    same = member.where("rep is not null").groupBy(key).agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("v < u").select("u", "v")
+    links = materialize(same, "links")
     # Buckets of one class link nothing: only those of several are kept.
     exploded = reps.select("rep", F.explode("bands").alias("bucket"))
     several = exploded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
     buckets = materialize(exploded.join(several, "bucket", "left_semi"), "buckets")
-    # Rows that share a key tie their classes together.
-    same = sketch.where("n_shingles > 0").join(classes, "digest").groupBy(key).agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").select(F.col("w").alias("u"), "v")
-    links = materialize(same, "links")
-    done = None
-    for level in range(most_levels):
-        stars = _stars(buckets)
-        if done is not None:
-            stars = stars.join(done, ["a", "b"], "left_anti")
-        candidates = materialize(_similar_signatures(stars, reps, percent / 100), "candidates")
-        found = _confirmed(candidates, docs, words, percent, key, text)
-        done = candidates if done is None else materialize(done.unionByName(candidates).distinct(), "seen")
-        links = materialize(links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-        label = materialize(components(links), "labels")
-        labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("bucket", "n")
-        mixed = materialize(labelled.join(open_, "bucket"), "mixed")
-        few = mixed.where(F.col("n") <= SMALL)
-        across = few.alias("x").join(few.alias("y"), "bucket").where("x.component < y.component").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        rest = materialize(_similar_signatures(across, reps, percent / 100), "candidates")
-        if rest.limit(1).count():
-            more = _confirmed(rest, docs, words, percent, key, text)
-            links = materialize(links.unionByName(more.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-            label = materialize(components(links), "labels")
-            done = materialize(done.unionByName(rest).distinct(), "seen")
-        large = mixed.where(F.col("n") > SMALL)
-        if not large.limit(1).count():
-            break
-        buckets = materialize(_split(large, reps, level), "buckets")
-    # What is still together after all splits is compared over components, in full.
-    else:
-        while True:
-            labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-            left = labelled.alias("x").join(labelled.alias("y"), "bucket").where("x.component < y.component").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-            rest = materialize(_similar_signatures(left, reps, percent / 100), "candidates")
-            if not rest.limit(1).count():
-                break
-            more = _confirmed(rest, docs, words, percent, key, text)
-            done = materialize(done.unionByName(rest).distinct(), "seen")
-            links = materialize(links.unionByName(more.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-            label = materialize(components(links), "labels")
-    member = sketch.join(classes, "digest", "left").join(label, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col(key))
-    return member.select(key, "n_shingles", component.alias("component_id"), (component == F.col(key)).alias("kept"))
+    sweep(docs.sparkSession)
+    candidates = materialize(_similar_signatures(_stars(buckets), reps, percent / 100).distinct(), "candidates")
+    links, label = _linked(candidates, links, docs, words, percent, key, text)
+    labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("bucket", "n")
+    mixed = materialize(labelled.join(open_, "bucket").select("bucket", "rep", "component", "n"), "mixed")
+    across = _across(mixed, reps, percent / 100).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    across = materialize(across, "across")
+    if across.limit(1).count():
+        links, label = _linked(across, links, docs, words, percent, key, text)
+    out = member.join(label, F.col("rep") == F.col("node"), "left")
+    component = F.coalesce("component", "rep", key)
+    return out.select(key, "n_shingles", component.alias("component_id"), (component == F.col(key)).alias("kept"))
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
