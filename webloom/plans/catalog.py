@@ -166,18 +166,21 @@ def filter_chain_stats(spark, d):
 
 
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
-TITLE = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
+def title():
+    return F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
 @query(f"SELECT page_id, {_TITLE} AS title, regexp_extract(html, '(?i)<html[^>]*\\slang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '(?i)<meta[^>]*charset=\"?([\\w-]+)', 1) AS charset, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
 def head_metadata_title(spark, d):
-    return t(spark, d, "pages").select("page_id", TITLE.alias("title"), F.regexp_extract("html", r'(?i)<html[^>]*\slang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", r'(?i)<meta[^>]*charset="?([\w-]+)', 1).alias("charset"), F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
+    return t(spark, d, "pages").select("page_id", title().alias("title"), F.regexp_extract("html", r'(?i)<html[^>]*\slang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", r'(?i)<meta[^>]*charset="?([\w-]+)', 1).alias("charset"), F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
 
 
 @query(f"SELECT page_id, round(.15 * CASE WHEN len({_TITLE}) BETWEEN 50 AND 60 THEN 1.0 WHEN len({_TITLE}) BETWEEN 40 AND 49 OR len({_TITLE}) BETWEEN 61 AND 70 THEN .7 ELSE .3 END + .18 * CAST(contains(lower({_TITLE}), 'the') AS INT) * .3 + .12 * .2 + .1 * .5 + .2 + .15 * CASE WHEN len({at(PATH)}) > 80 THEN .7 ELSE 1 END * CASE WHEN regexp_matches({at(PATH)}, '\\d{{4}}') THEN .8 ELSE 1 END * CASE WHEN {at(QUERY)} <> '' THEN .6 ELSE 1 END * CASE WHEN contains({at(PATH)}, '_') THEN .9 ELSE 1 END, 6)::DOUBLE AS score FROM pages")
 def filter_seo(spark, d):
     none = F.lit(None).cast("string")
-    s = U.seo_score(TITLE, F.lit(""), F.col("url"), ["the"], none, F.lit(False), F.lit(False))
+    s = U.seo_score(title(), F.lit(""), F.col("url"), ["the"], none, F.lit(False), F.lit(False))
     return t(spark, d, "pages").select("page_id", F.round(s, 6).alias("score"))
 
 
@@ -364,7 +367,7 @@ _HEAD = "(SELECT page_id, regexp_split_to_array(lower(" + _TITLE + "), '\\s+') A
 
 @query("SELECT page_id, round(" + " + ".join(f"ln(2 / (len(list_filter(w, lambda x: x = '{q}')) + .5) + 1) * len(list_filter(w, lambda x: x = '{q}')) * 2.2 / (len(list_filter(w, lambda x: x = '{q}')) + 1.2 * (.25 + .75 * len(w) / 1000))" for q in ("the", "of")) + f", 6) AS score FROM {_HEAD}")
 def head_relevance(spark, d):
-    return t(spark, d, "pages").select("page_id", F.split(F.lower(TITLE), r"\s+").alias("w")).select("page_id", F.round(search.head_bm25(F.col("w"), ["the", "of"]), 6).alias("score"))
+    return t(spark, d, "pages").select("page_id", F.split(F.lower(title()), r"\s+").alias("w")).select("page_id", F.round(search.head_bm25(F.col("w"), ["the", "of"]), 6).alias("score"))
 
 
 _CHUNKS = "(SELECT conv_id, turn, contains(lower(text), 'thon') AS hit FROM conversations)"

@@ -7,20 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _watermarked(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """Event times of a stream must carry a zone; those without one are read in the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if rows.isStreaming else rows
+
+
 def timeline(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """(start, event_type, n, total) in tumbling windows."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     return rows.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     return rows.groupBy(F.session_window(ts, gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def unseen(stream: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
     """Each key once; on a stream, the state of a key is dropped when the watermark has passed it."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+    return _watermarked(stream, ts, late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
 
 
 def endpoint_stats(events: DataFrame) -> DataFrame:
@@ -53,7 +58,7 @@ def rate_states(responses: DataFrame, key: str = "domain", ts: str = "ts", statu
                 yield pd.DataFrame(out, columns=[key, ts, "delay", "fails", "goes_on"])
             state.update((delay, fails))
 
-        return responses.groupBy(key).applyInPandasWithState(step, schema, "delay double, fails int", "append", GroupStateTimeout.NoTimeout)
+        return responses.withColumn(ts, F.col(ts).cast("timestamp")).groupBy(key).applyInPandasWithState(step, schema, "delay double, fails int", "append", GroupStateTimeout.NoTimeout)
 
     def fold(frames):
         now, delay, fails = None, base, 0
@@ -66,7 +71,7 @@ def rate_states(responses: DataFrame, key: str = "domain", ts: str = "ts", statu
                 out.append((k, t, delay, fails, on))
             yield pd.DataFrame(out, columns=[key, ts, "delay", "fails", "goes_on"])
 
-    ordered = responses.select(key, ts, status).repartition(key).sortWithinPartitions(key, ts)
+    ordered = responses.select(key, F.col(ts).cast("timestamp").alias(ts), status).repartition(key).sortWithinPartitions(key, ts)
     return ordered.mapInPandas(fold, schema)
 
 
