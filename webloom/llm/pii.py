@@ -2,7 +2,7 @@
 
 The base patterns (email, ip, card, phone) are always reported. Beside them, high-recall generators propose spans that may
 overlap; boosted trees score each candidate by format and context, and a threshold of its kind, calibrated for precision on
-examples that weren't fitted, selects it. Of selected spans that overlap, the better stays; a candidate that overlaps a base
+examples that weren't fitted, selects it. Of selected spans that overlap, the longest stays, then the likeliest; a candidate that overlaps a base
 span is left out, as the base span covers the place. The model is fitted once from texts that this module makes.
 
 Positions count code points, ends are exclusive. Null and empty texts have no spans; texts of any length are read whole.
@@ -239,7 +239,13 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         return out
 
     four = three.select(key, *keep, "base", F.filter("proposed", passes).alias("chosen"))
-    better = lambda y, x: (y["s"]["start"] < x["s"]["end"]) & (x["s"]["start"] < y["s"]["end"]) & ((y["z"] > x["z"]) | (y["z"] == x["z"]) & ((y["s"]["kind"] < x["s"]["kind"]) | (y["s"]["kind"] == x["s"]["kind"]) & (y["s"]["start"] < x["s"]["start"])))
+
+    def better(y: Column, x: Column) -> Column:
+        """y overlaps x and is longer, or as long and likelier, or comes first."""
+        n, m = y["s"]["end"] - y["s"]["start"], x["s"]["end"] - x["s"]["start"]
+        first = (y["s"]["kind"] < x["s"]["kind"]) | (y["s"]["kind"] == x["s"]["kind"]) & (y["s"]["start"] < x["s"]["start"])
+        return (y["s"]["start"] < x["s"]["end"]) & (x["s"]["start"] < y["s"]["end"]) & ((n > m) | (n == m) & ((y["z"] > x["z"]) | (y["z"] == x["z"]) & first))
+
     best = F.filter("chosen", lambda x: ~F.exists(F.col("chosen"), lambda y: better(y, x)))
     return four.select(key, *keep, "base", F.array_sort(F.concat("base", F.transform(best, lambda x: x["s"]))).alias("spans"))
 
