@@ -7,7 +7,8 @@ descendants can't contradict each other. The trees are fitted to pages that this
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
 one newline; nothing else is dropped or cut. Null, empty and textless html give the empty string. Markup may be broken:
-stray end tags are ignored, open elements end with the page. Repeated rows give repeated results.
+stray end tags are ignored, open elements end with the page,
+a tag that the page's end cuts off is dropped. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import boosting
 from .common import ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
