@@ -3,14 +3,16 @@
 import math
 import os
 
+import pandas as pd
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cell(x):
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and math.isnan(x):
         return ""
     if isinstance(x, float):
-        return f"{x + 0.0:.5f}"
+        return f"{x + 0.0:.5f}".removesuffix(".00000")
     return str(x)
 
 
