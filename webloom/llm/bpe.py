@@ -23,6 +23,8 @@ from .common import ship
 from .spans import chunks, gather, pretoken_starts, span_hashes
 
 _NONE = np.int64(1 << 40)
+#: Positions that are looked up at a time, and bytes of text whose new words are encoded together.
+_PIECE, _GROUP = 1 << 18, 24 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +45,7 @@ class MergeReplay:
         self.keys, self.values = np.append(keys[order], _NONE), np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], _NONE)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], _NONE)
 
@@ -54,8 +56,8 @@ class MergeReplay:
         size = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(size) - size
         n = len(data)
-        tok = self.byte[data]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        tok = self.byte[data].astype(np.int32)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         full = size > 0
         nxt[(begin + size - 1)[full]] = -1
         prv[begin[full]] = -1
@@ -85,7 +87,8 @@ class MergeReplay:
                     pending[rank] = [part]
                     heapq.heappush(heap, rank)
 
-        index(np.flatnonzero(rest & (nxt >= 0)))
+        for k in range(0, n, _PIECE):
+            index((np.flatnonzero((rest & (nxt >= 0))[k : k + _PIECE]) + k).astype(np.int32))
         while heap:
             rank = heapq.heappop(heap)
             parts = pending.pop(rank)
@@ -122,7 +125,7 @@ class MergeReplay:
 class WordTable:
     """Ids of the distinct pre-tokens that a task has met; it is emptied when it holds more than most."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -131,11 +134,21 @@ class WordTable:
         self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode_column(self, column) -> Iterator[np.ndarray]:
-        """The ids of each text. The new words of the whole column are encoded together."""
+        """The ids of each text. The new words of some megabytes of text are encoded together."""
+        group, size = [], 0
+        for part in chunks(column):
+            group.append(part)
+            size += len(part[2])
+            if size >= _GROUP:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, group: list) -> Iterator[np.ndarray]:
         if len(self.at) > self.most:
             self._clear()
         at, fresh, parts, known = self.at, [], [], len(self.at)
-        for _, _, data, off in chunks(column):
+        for _, _, data, off in group:
             starts = pretoken_starts(data, off)
             ends = np.append(starts[1:], len(data))
             h, first, inverse = np.unique(span_hashes(data, starts, ends[: len(starts)]), return_index=True, return_inverse=True)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,6 +56,8 @@ def chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, n
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
     column = column.fill_null("")
     if not len(column):
         return

@@ -165,7 +165,7 @@ def _model(path: str) -> tuple[WordTable, int]:
                 size[k] = len(own)
             return np.array(ids, np.int32), size
 
-        _models[path] = WordTable(encode), t.get_vocab_size()
+        _models[path] = WordTable(encode, 400_000), t.get_vocab_size()
     return _models[path]
 
 
