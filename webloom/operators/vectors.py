@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Query points that are sent to every task; a query cloud has some dozens.
-MOST_QUERIES = 10_000
-
-
-def _small(queries: DataFrame) -> DataFrame:
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors")
-    return F.broadcast(queries)
+#: Query points that are sent to every task at a time, of some hundreds of bytes each.
+BLOCK = 10_000
 
 
 def similarities(kb: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(q, key, sim) of every query point against every row: a stated, bounded query set against all rows, without a shuffle."""
-    q = _small(queries.select(F.col(key).alias("q"), F.col(vector).alias("_qv")))
-    return kb.select(key, vector).crossJoin(q).select("q", key, V.cosine(F.col(vector), F.col("_qv")).alias("sim"))
+    """(q, key, sim) of every query point against every row: a stated query set against all rows, in blocks, without a shuffle of the rows."""
+    blocks = -(-queries.count() // BLOCK)
+    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("_qv"))
+    parts = [q] if blocks <= 1 else [q.where(F.pmod(F.xxhash64("q"), F.lit(2 * blocks)) == i) for i in range(2 * blocks)]  # of half a block on average
+    each = [kb.select(key, vector).crossJoin(F.broadcast(p)).select("q", key, V.cosine(F.col(vector), F.col("_qv")).alias("sim")) for p in parts]
+    return reduce(DataFrame.unionByName, each)
 
 
 def gaps(kb: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..operators import frontier, links, search, vectors
+from ..operators import adaptive, frontier, links, search, vectors
 from ..operators import scrape as S
 from ..sources import pages as P
 from ..streaming import telemetry as M
@@ -426,25 +426,26 @@ def grouped_chunks(spark, d):
     return g.select("conv_id", F.md5(F.encode(F.array_join(F.transform("x", lambda r: F.concat(r["role"], F.lit(": "), r["text"])), "\n"), "UTF-8")).alias("digest"), "n")
 
 
-# Vectors. Query points: the rows of a small id range, against all rows.
+# Vectors. Query points: every row whose id is divisible by 50.
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_POINTS = 8
 
 
 def _points(spark, d):
+    """All rows; the query points, each fiftieth; the others as the knowledge base."""
     v = t(spark, d, "embeddings")
-    return v, v.where(F.col("vec_id") < _POINTS), v.where(F.col("vec_id") >= _POINTS)
+    return v, v.where("vec_id % 50 = 0"), v.where("vec_id % 50 <> 0")
 
 
-@query(f"SELECT q, vec_id, round(s, 5) AS sim FROM (SELECT a.vec_id AS q, b.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < {_POINTS} AND b.vec_id >= {_POINTS}) WHERE r <= 5")
+@query(f"SELECT q, vec_id, round(s, 5) AS sim FROM (SELECT a.vec_id AS q, b.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE r <= 5")
 def cosine_topk(spark, d):
-    _, q, kb = _points(spark, d)
-    best = vectors.similarities(kb, q).groupBy("q").agg(F.reverse(F.array_sort(F.collect_list(F.struct("sim", (-F.col("vec_id")).alias("n"))))).alias("a"))
-    return best.select("q", F.explode(F.slice("a", 1, 5)).alias("x")).select("q", (-F.col("x.n")).alias("vec_id"), F.round("x.sim", 5).alias("sim"))
+    kb, q, _ = _points(spark, d)
+    w = W.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "vec_id")
+    best = vectors.similarities(kb, q).withColumn("r", F.row_number().over(w)).where("r <= 5")
+    return best.select("q", "vec_id", F.round("sim", 5).alias("sim"))
 
 
-_GAPS = f"SELECT a.vec_id AS q, 1 - max({_COS}) AS gap FROM embeddings a, embeddings b WHERE a.vec_id < {_POINTS} AND b.vec_id >= {_POINTS} GROUP BY 1"
+_GAPS = f"SELECT a.vec_id AS q, 1 - max({_COS}) AS gap FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 GROUP BY 1"
 
 
 @query(f"SELECT q, round(gap, 5) AS gap FROM ({_GAPS})")
@@ -459,7 +460,7 @@ def embedding_coverage(spark, d):
     return vectors.coverage(vectors.gaps(kb, q)).select(F.round("mean_best", 5).alias("mean_best"), F.round("median_best", 5).alias("median_best"), "hit_rate")
 
 
-@query(f"SELECT vec_id FROM embeddings n WHERE vec_id < {_POINTS} AND (SELECT max(list_cosine_similarity(n.embedding::DOUBLE[], b.embedding::DOUBLE[])) FROM embeddings b WHERE b.vec_id >= {_POINTS}) < .95")
+@query(f"SELECT vec_id FROM embeddings n WHERE vec_id % 50 = 0 AND (SELECT max(list_cosine_similarity(n.embedding::DOUBLE[], b.embedding::DOUBLE[])) FROM embeddings b WHERE b.vec_id % 50 <> 0) < .95")
 def kb_dedup(spark, d):
     _, q, kb = _points(spark, d)
     return vectors.without_near_copies(q, kb).select("vec_id")
@@ -470,10 +471,10 @@ def centroid_radius(spark, d):
     return vectors.cloud(t(spark, d, "embeddings")).select(F.col("dim").cast("bigint").alias("dim"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query(f"WITH g AS ({_GAPS}), l AS (SELECT * FROM embeddings WHERE vec_id BETWEEN 20 AND 39), k AS (SELECT * FROM embeddings WHERE vec_id >= 40), e AS (SELECT a.vec_id, sum(greatest(0, gap - (1 - {_COS})) * 2) / count(*) AS gain FROM l a, embeddings b JOIN g ON g.q = b.vec_id WHERE gap > .2 GROUP BY 1), m AS (SELECT a.vec_id, max({_COS}) AS sim FROM l a, k b GROUP BY 1) SELECT vec_id, round(gain * (1 - 2 * greatest(0, sim - .85)), 5) AS score FROM e JOIN m USING (vec_id)")
+@query(f"WITH g AS ({_GAPS}), l AS (SELECT * FROM embeddings WHERE vec_id % 50 = 1), k AS (SELECT * FROM embeddings WHERE vec_id % 50 > 1), e AS (SELECT a.vec_id, sum(greatest(0, gap - (1 - {_COS})) * 2) / count(*) AS gain FROM l a, embeddings b JOIN g ON g.q = b.vec_id WHERE gap > .2 GROUP BY 1), m AS (SELECT a.vec_id, max({_COS}) AS sim FROM l a, k b GROUP BY 1) SELECT vec_id, round(gain * (1 - 2 * greatest(0, sim - .85)), 5) AS score FROM e JOIN m USING (vec_id)")
 def gap_link_score(spark, d):
     v, q, kb = _points(spark, d)
-    return vectors.gap_link_scores(v.where("vec_id between 20 and 39"), vectors.gaps(kb, q), q, v.where("vec_id >= 40")).select("vec_id", F.round("score", 5).alias("score"))
+    return vectors.gap_link_scores(v.where("vec_id % 50 = 1"), vectors.gaps(kb, q), q, v.where("vec_id % 50 > 1")).select("vec_id", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -486,7 +487,7 @@ def cluster_cosine(spark, d):
 def cosine_filter_backfill(spark, d):
     """Rows above a similarity in input order, then the best of the rest up to a number."""
     _, q, kb = _points(spark, d)
-    s = vectors.similarities(kb, q.limit(1))
+    s = vectors.similarities(kb, q.where("vec_id = 0"))
     return s.withColumn("over", F.col("sim") >= 0.3).orderBy(F.desc("over"), F.when(F.col("over"), F.col("vec_id")), F.desc("sim")).limit(20).select("vec_id", F.round("sim", 5).alias("sim"))
 
 
@@ -658,3 +659,52 @@ def extract_css(spark, d):
 def extract_xpath(spark, d):
     schema = {"baseSelector": "//nav//li", "fields": [{"name": "label", "selector": ".//a", "type": "text"}, {"name": "href", "selector": ".//a[@href]", "type": "attribute", "attribute": "href"}]}
     return S.extract(t(spark, d, "pages"), schema, by="xpath")
+
+
+# Collection in rounds, and the remaining text functions.
+
+
+@query("WITH h AS (SELECT step, count(term) FILTER (first = step) AS n FROM (SELECT DISTINCT step, term, min(step) OVER (PARTITION BY term) AS first FROM (" + _STEPS + ")) GROUP BY 1) SELECT round(greatest(0, least(1, 1 - arg_max(n, step) / arg_min(n, step))), 6) AS saturation FROM h")
+def saturation(spark, d):
+    rows = search.exploded_tokens(t(spark, d, "documents"), "doc_id", "text").select((F.col("doc_id") % 20).alias("step"), "term")
+    return search.saturation(search.new_terms(rows)).select(F.round("saturation", 6).alias("saturation"))
+
+
+@query(f"SELECT doc_id, round(len(list_intersect(['and', 'erthin', 'the', 'thonre'], {TOKENS})) / 4.0 * .5 + CASE WHEN len(list_distinct({TOKENS})) = 0 THEN 0 ELSE len(list_filter(list_distinct({TOKENS}), lambda x: x NOT IN ('the', 'and'))) / len(list_distinct({TOKENS})) END * .3 + .2, 6)::DOUBLE AS score FROM documents")
+def link_ranking(spark, d):
+    c = F.col("text")
+    return t(spark, d, "documents").select("doc_id", F.round(search.link_rank(adaptive.relevance(c, _Q), adaptive.novelty(c, ["the", "and"])), 6).alias("score"))
+
+
+@query("SELECT doc_id, unnest(range(len(c))) AS pos, len(unnest(c)) AS n FROM (SELECT doc_id, list_filter(string_split(replace(text, '. ', '.' || chr(1)), chr(1)), lambda s: trim(s) <> '') AS c FROM documents)")
+def chunk_stops(spark, d):
+    """Chunks after each full stop and space."""
+    pieces = F.filter(F.split(F.replace("text", F.lit(". "), F.lit(".\x01")), "\x01", -1), lambda s: F.trim(s) != "")
+    return t(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "c")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("c").cast("bigint").alias("n"))
+
+
+@query()
+def chunk_sentences(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query()
+def chunk_md_sections(spark, d):
+    return _scrape(spark, d, "markdown").select("page_id", F.posexplode(T.chunk_markdown(F.col("markdown"))).alias("pos", "section"))
+
+
+@query()
+def adaptive_digest(spark, d):
+    docs = t(spark, d, "documents")
+    n = docs.count()
+    to = lambda k: (F.col("doc_id") * k + k - 1) % n
+    edges = docs.select(F.col("doc_id").cast("string").alias("src"), F.explode(F.array(to(2), to(3))).alias("dst")).select("src", F.col("dst").cast("string").alias("dst"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("url"), "text")
+    return adaptive.digest(docs, edges, "0", ["the", "and", "thonre"], most_rounds=2).pages
+
+
+@query("SELECT page_id, url AS loc FROM pages")
+def sitemap_source(spark, d):
+    maps = t(spark, d, "pages").select("page_id", F.lit("https://x.org/sitemap.xml").alias("url"), F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>")).alias("xml"))
+    found = P.sitemap_urls(maps.withColumn("url", F.col("page_id").cast("string")))
+    return found.select(F.col("map").cast("bigint").alias("page_id"), "loc")
