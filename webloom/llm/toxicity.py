@@ -115,24 +115,30 @@ def _telling(column, toxic: np.ndarray) -> np.ndarray:
             fresh.append(bool(marks) and not marks & seen)
             seen |= marks
     fresh = np.array(fresh, bool)
-    count: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for i, j, raw, off in chunks(column):
-        data = lower_ascii(raw)
-        starts, ends, cut = word_spans(data, off, _BETWEEN)
-        row = np.repeat(np.arange(i, j), np.diff(cut))
-        for own, h in _kinds(span_hasher(data), starts, ends):
-            r = row[own]
-            for kind in (True, False):
-                use = (fresh[r] if kind else np.ones(len(r), bool)) & (toxic[r] == kind)
-                own_h = h[use]
-                _, once = np.unique(mix(own_h ^ mix(r[use].astype(np.uint64))), return_index=True)
-                count[kind].append(own_h[once])
-    with_, n1 = np.unique(np.concatenate([np.zeros(0, np.uint64), *count[True]]), return_counts=True)
-    without, n0 = np.unique(np.concatenate([np.zeros(0, np.uint64), *count[False]]), return_counts=True)
-    at = np.minimum(np.searchsorted(without, with_), max(len(without) - 1, 0))
-    other = np.where(without[at] == with_, n0[at], 0) if len(without) else np.zeros(len(with_))
-    share = fresh[toxic].sum() / max(1, (~toxic).sum())
-    return with_[(n1 >= 4) & (other * share <= 0.02 * n1)]
+
+    def marks_of(rows: np.ndarray):
+        """Of the chosen rows, (row, hash) of every word and beginning, each pair once a chunk and kind."""
+        for i, j, raw, off in chunks(column):
+            if not rows[i:j].any():
+                continue
+            data = lower_ascii(raw)
+            starts, ends, cut = word_spans(data, off, _BETWEEN)
+            row = np.repeat(np.arange(i, j), np.diff(cut))
+            for own, h in _kinds(span_hasher(data), starts, ends):
+                use = rows[row[own]]
+                r, h = row[own[use]], h[use]
+                _, once = np.unique(mix(h ^ mix(r.astype(np.uint64))), return_index=True)
+                yield h[once]
+
+    none = np.zeros(0, np.uint64)
+    found, n1 = np.unique(np.concatenate([none, *marks_of(fresh & toxic)]), return_counts=True)
+    found, n1 = found[n1 >= 4], n1[n1 >= 4]
+    other = np.zeros(len(found), np.int64)
+    for h in marks_of(~toxic) if len(found) else ():  # only what may be telling is counted
+        at = np.minimum(np.searchsorted(found, h), len(found) - 1)
+        other += np.bincount(at[found[at] == h], minlength=len(found))
+    share = (fresh & toxic).sum() / max(1, (~toxic).sum())
+    return found[other * share <= 0.02 * n1]
 
 
 def label_model(fired: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float, given: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
