@@ -60,7 +60,7 @@ def test_ward_clusters():
 def test_sitemaps_and_robots(spark):
     maps = spark.createDataFrame(
         [
-            ("https://a.org/sitemap.xml", "<sitemapindex><sitemap><loc>/s1.xml</loc></sitemap><sitemap><loc> https://a.org/s2.xml </loc></sitemap></sitemapindex>"),
+            ("https://a.org/sitemap.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in ("/s1.xml", " https://a.org/s2.xml ")) + "</sitemapindex>"),
             ("https://a.org/s1.xml", '<n:urlset xmlns:n="x"><n:url><n:loc>https://a.org/1?a=1&amp;b=2</n:loc></n:url></n:urlset>'),
             ("https://a.org/s2.xml", "<urlset><url><loc><![CDATA[https://a.org/2]]></loc></url><url><loc>three</loc></url></urlset>"),
         ],

@@ -44,6 +44,12 @@ def test_layout_tables_and_small_images_are_left_out():
 
 def test_extraction(spark):
     html = '<div class=p><h2> A </h2><span class=c>$ 12.50</span><ul><li>x<li>y</ul></div><div class=p><h2>B</h2></div>'
-    schema = {"baseSelector": "div.p", "fields": [{"name": "name", "selector": "h2", "type": "text", "transform": "lowercase"}, {"name": "price", "selector": ".c", "type": "regex", "pattern": r"([\d.]+)", "default": "0"}, {"name": "items", "selector": "li", "type": "list", "fields": [{"name": "v", "type": "text"}]}, {"name": "n", "type": "computed", "expression": "size(items)"}]}
+    fields = [
+        dict(name="name", type="text", selector="h2", transform="lowercase"),
+        dict(name="price", type="regex", selector=".c", pattern=r"([0-9.]+)", default="0"),
+        dict(name="items", type="list", selector="li", fields=[dict(name="v", type="text")]),
+        dict(name="n", type="computed", expression="size(items)"),
+    ]
+    schema = {"baseSelector": "div.p", "fields": fields}
     got = S.extract(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), schema).orderBy("pos").collect()
     assert [(r["page_id"], r["name"], r["price"], [i["v"] for i in r["items"]], r["n"]) for r in got] == [(1, "a", "12.50", ["x", "y"], 2), (1, "b", "0", [], 0)]

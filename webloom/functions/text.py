@@ -8,28 +8,29 @@ from pyspark.sql import functions as F
 STOP_WORDS = "the a an and or but of in on at to for with by from is are was were be been it its this that as not de la le les des un une et der die das und el los las en".split()
 
 #: Entity patterns, matched without regard to case and line by line.
+_HEX, _D = "[0-9a-f]", "[0-9]"
 ENTITIES = {
-    "email": r"[\w.+-]+@[\w-]+\.[\w.-]+",
-    "phone_intl": r"\+?\d[\d .()-]{7,}\d",
-    "phone_us": r"\(?\d{3}\)?[ -. ]?\d{3}[ -. ]?\d{4}",
-    "url": r"https?://[^\s\"'<>]+",
-    "ipv4": r"(?:\d{1,3}\.){3}\d{1,3}",
-    "ipv6": r"[A-F0-9]{1,4}(?::[A-F0-9]{1,4}){7}",
-    "uuid": r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}",
-    "currency": r"(?:USD|EUR|RM|\$|€|£)\s?\d+(?:[.,]\d{2})?",
-    "percentage": r"\d+(?:\.\d+)?%",
-    "number": r"\b\d{1,3}(?:[,.\s]\d{3})*(?:\.\d+)?\b",
-    "date_iso": r"\d{4}-\d{2}-\d{2}",
-    "date_us": r"\d{1,2}/\d{1,2}/\d{2,4}",
-    "time_24h": r"\b(?:[01]?\d|2[0-3]):[0-5]\d(?:[:.][0-5]\d)?\b",
-    "postal_us": r"\b\d{5}(?:-\d{4})?\b",
-    "postal_uk": r"\b[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b",
-    "html_color_hex": r"#[0-9A-Fa-f]{6}\b",
-    "twitter_handle": r"@[\w]{1,15}",
-    "hashtag": r"#[\w-]+",
-    "mac_addr": r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}",
-    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}",
-    "credit_card": r"\b(?:4\d{12}(?:\d{3})?|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d{2})\d{12})\b",
+    "ipv4": rf"(?:{_D}{{1,3}}\.){{3}}{_D}{{1,3}}",
+    "ipv6": rf"{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{7}}",
+    "mac_addr": rf"(?:{_HEX}{{2}}:){{5}}{_HEX}{{2}}",
+    "uuid": rf"{_HEX}{{8}}-{_HEX}{{4}}-[1-5]{_HEX}{{3}}-[89ab]{_HEX}{{3}}-{_HEX}{{12}}",
+    "html_color_hex": rf"#{_HEX}{{6}}\b",
+    "hashtag": r"#[-\w]+",
+    "twitter_handle": r"@\w{1,15}",
+    "email": r"[-+.\w]+@[-\w]+\.[-.\w]+",
+    "url": r"https?://[^<>\s'\"]+",
+    "percentage": rf"{_D}+(?:\.{_D}+)?%",
+    "number": rf"\b{_D}{{1,3}}(?:[\s.,]{_D}{{3}})*(?:\.{_D}+)?\b",
+    "currency": rf"(?:\$|€|£|EUR|USD|RM)\s?{_D}+(?:[,.]{_D}{{2}})?",
+    "date_iso": rf"{_D}{{4}}-{_D}{{2}}-{_D}{{2}}",
+    "date_us": rf"{_D}{{1,2}}/{_D}{{1,2}}/{_D}{{2,4}}",
+    "time_24h": rf"\b(?:2[0-3]|[01]?{_D}):[0-5]{_D}(?:[.:][0-5]{_D})?\b",
+    "phone_us": rf"\(?{_D}{{3}}\)?[-. ]?{_D}{{3}}[-. ]?{_D}{{4}}",
+    "phone_intl": rf"\+?{_D}[-0-9 .()]{{7,}}{_D}",
+    "postal_us": rf"\b{_D}{{5}}(?:-{_D}{{4}})?\b",
+    "postal_uk": rf"\b[A-Z]{{1,2}}{_D}[0-9A-Z]? ?{_D}[A-Z]{{2}}\b",
+    "iban": rf"[A-Z]{{2}}{_D}{{2}}[0-9A-Z]{{11,30}}",
+    "credit_card": rf"\b(?:3[47]{_D}{{13}}|5[1-5]{_D}{{14}}|4{_D}{{12}}(?:{_D}{{3}})?|6(?:5{_D}{{2}}|011){_D}{{12}})\b",
 }
 
 
@@ -126,7 +127,7 @@ def text_key(text: Column) -> Column:
 
 def xml_tag(text: Column, tag: str) -> Column:
     """The longest content of a tag, trimmed; null without one."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)" + f"</{tag}>"), F.lit(1))
     return F.trim(F.aggregate(found, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a)))
 
 

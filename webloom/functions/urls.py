@@ -9,11 +9,42 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "ref_src")
-TRACKING_DEEP = ("utm_source", "utm_medium", "utm_campaign", "ref", "fbclid")
-SECOND_LEVEL = ("co", "com", "org", "gov", "edu", "net", "mil", "int", "ac", "ad", "ae", "af", "ag")
-SPECIAL_SCHEMES = ("mailto:", "tel:", "ftp:", "file:", "data:", "javascript:")
-MIME = {"html": "text/html", "htm": "text/html", "php": "text/html", "txt": "text/plain", "css": "text/css", "csv": "text/csv", "xml": "application/xml", "json": "application/json", "js": "application/javascript", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "doc": "application/msword", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "ico": "image/x-icon", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "mp4": "video/mp4", "webm": "video/webm", "avi": "video/x-msvideo", "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "rss": "application/rss+xml", "atom": "application/atom+xml"}
+TRACKING = tuple("fbclid gclid ref ref_src utm_campaign utm_content utm_medium utm_source utm_term".split())
+TRACKING_DEEP = tuple("fbclid ref utm_campaign utm_medium utm_source".split())
+SECOND_LEVEL = tuple("ac ad ae af ag co com edu gov int mil net org".split())
+SPECIAL_SCHEMES = tuple(f"{s}:" for s in "data file ftp javascript mailto tel".split())
+#: Media types with their extensions.
+_TYPES = """
+application/atom+xml atom
+application/gzip gz
+application/javascript js
+application/json json
+application/msword doc
+application/pdf pdf
+application/rss+xml rss
+application/xml xml
+application/zip zip
+audio/mpeg mp3
+audio/ogg ogg
+audio/wav wav
+font/ttf ttf
+font/woff woff
+font/woff2 woff2
+image/gif gif
+image/jpeg jpeg jpg
+image/png png
+image/svg+xml svg
+image/webp webp
+image/x-icon ico
+text/css css
+text/csv csv
+text/html htm html php
+text/plain txt
+video/mp4 mp4
+video/webm webm
+video/x-msvideo avi
+"""
+MIME = {ext: kind for kind, *exts in map(str.split, _TYPES.strip().split("\n")) for ext in exts}
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -150,7 +181,7 @@ def is_nonsense(u: Column) -> Column:
     p = F.lower(path(u))
     names = "|".join(re.escape(x) for x in _UTILITY)
     parts = "|".join(re.escape(x) for x in _NO_CONTENT)
-    short = (F.length(F.regexp_replace(p, "^/+|/+$", "")) < 3) & ~p.isin("/", "/en", "/de", "/fr", "/es", "/it")
+    short = (F.length(F.regexp_replace(p, "^/+|/+$", "")) < 3) & ~p.isin("/", *(f"/{x}" for x in "de en es fr it".split()))
     return p.rlike(rf"/(?:{names})$") | p.rlike(r"/sitemap.*(?:\.xml|\.xml\.gz|\.txt)$") | p.rlike(r"/\.") | p.rlike(parts) | F.lower(u).rlike(r"[?&]print=|/print/|_print\.") | short
 
 
@@ -204,7 +235,7 @@ def link_score(u: Column, text: Column, title: Column, css: Column, rel: Column)
     total += add(lit(rel).rlike("canonical|next|prev|chapter"), 1.0) - add(lit(rel).rlike("nofollow|sponsored|ugc"), 0.5)
     total += F.when(low.rlike("/(?:docs|api|guide|tutorial|reference|manual)/"), 2.0).when(low.rlike("/(?:blog|article|post|news)/"), 1.0).otherwise(0.0)
     total += F.when(slashes <= 2, 1.0).when(slashes > 5, -0.5).otherwise(0.0) - add(low.rlike("/(?:admin|login|cart|checkout|track|click)/"), 1.5) + add(u.startswith("https://"), 0.5)
-    total += add(F.length(t) > 3, 1.0) + add(words >= 2, 0.5) + add(words >= 4, 0.5) - add(F.lower(t).isin("click here", "read more", "more info", "link", "here"), 1.0)
+    total += add(F.length(t) > 3, 1.0) + add(words >= 2, 0.5) + add(words >= 4, 0.5) - add(F.lower(t).isin(*"here|link|more info|read more|click here".split("|")), 1.0)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(10.0))
 
 

@@ -26,14 +26,14 @@ FEATURES = {
     "fit_markdown": "string",
     "page_query": "string",
 }
-_KEEP_ATTRS = ("src", "href", "alt", "title", "width", "height")
+_KEEP_ATTRS = tuple("alt height href src title width".split())
 _KEEP_EMPTY = frozenset("a img br hr input video audio source iframe td th pre code".split()) | VOID
 _INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img kbd label mark q s samp small span strong sub sup time tt u var".split())
 
 
 def clean(root: Node, excluded: Iterable[str] = (), selector: str = "", keep_data: bool = False, forms: bool = True) -> Node:
     """Without scripts, styles and excluded parts, empty elements and attributes beyond a few."""
-    gone = {"script", "style", "link", "meta", "noscript", *excluded} | (set() if forms else {"form"})
+    gone = {*"link meta noscript script style".split(), *excluded} | (set() if forms else {"form"})
     for n in list(root.walk()):
         if n.tag in gone:
             n.remove()
@@ -152,7 +152,8 @@ def table_data(t: Node) -> dict:
             body = rows[1:]
     data = [x for r in body if (x := cells(r, "td"))]
     if not headers and data:
-        headers = [f"Column {i + 1}" for i in range(max(map(len, data)))]
+        width = max(len(x) for x in data)
+        headers = ["Column " + str(k) for k in range(1, width + 1)]
     n = len(headers)
     caption = t.find("caption")
     return {"headers": headers, "rows": [(x + [""] * n)[:n] for x in data], "caption": caption.text(" ") if caption else ""}
@@ -195,7 +196,10 @@ def blocks(root: Node) -> list[dict]:
     return out
 
 
-_TAG_WEIGHT = {"div": 0.5, "p": 1.0, "article": 1.5, "section": 1.0, "span": 0.3, "h1": 1.2, "h2": 1.1, "h3": 1.0, "h4": 0.9, "h5": 0.8, "h6": 0.7}
+_TAG_WEIGHT = {f"h{k}": round(1.3 - k / 10, 1) for k in range(1, 7)} | dict(span=0.3, div=0.5, section=1.0, p=1.0, article=1.5)
+
+
+_FRAME = frozenset("aside footer form head header iframe nav noscript script style".split())
 
 
 def prune_score(n: Node, min_words: int | None = None) -> float:
@@ -212,7 +216,7 @@ def prune_score(n: Node, min_words: int | None = None) -> float:
 def prune(root: Node, threshold: float = 0.48, dynamic: bool = False, min_words: int | None = None) -> Node:
     """Without menus, frames, forms and elements of low density; what stands in a removed element isn't looked at."""
     for n in list(root.walk()):
-        if n.tag in ("nav", "footer", "header", "aside", "script", "style", "form", "iframe", "noscript", "head"):
+        if n.tag in _FRAME:
             n.remove()
     stack = [c for c in (root.find("body") or root).children if isinstance(c, Node)]
     while stack:

@@ -42,7 +42,7 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
     return scored.groupBy(key).agg(F.sum(part).alias("score"))
 
 
-def head_bm25(tokens: Column, query: list[str], k1: float = 1.2, b: float = 0.75, average: float = 1000.0) -> Column:
+def head_bm25(tokens: Column, query: list[str], average: float = 1e3, b: float = 0.75, k1: float = 1.2) -> Column:
     """The form for head sections, in one expression: its idf depends on the term's own frequency."""
     n = F.size(tokens)
     out = F.lit(0.0)

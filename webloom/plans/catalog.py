@@ -96,7 +96,7 @@ def link_preview_filter(spark, d):
     return links.preview_filter(page_links(spark, d), most=4).select("page_id", "target", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query(LINKS + ", heads AS (SELECT DISTINCT target, len(target) % 10 / 10.0 AS relevance FROM links WHERE len(target) % 3 = 0), s AS (SELECT page_id, pos, l.target, text, CASE WHEN len(target) - len(replace(target, '/', '')) - 2 <= 2 THEN 1.0 WHEN len(target) - len(replace(target, '/', '')) - 2 > 5 THEN -0.5 ELSE 0 END + CASE WHEN starts_with(target, 'https://') THEN .5 ELSE 0 END + CASE WHEN len(text) > 3 THEN 1 ELSE 0 END - CASE WHEN lower(text) IN ('click here', 'read more', 'more info', 'link', 'here') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(target), '/(docs|api|guide|tutorial|reference|manual)/') THEN 2.0 WHEN regexp_matches(lower(target), '/(blog|article|post|news)/') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(lower(target), '/(admin|login|cart|checkout|track|click)/') THEN 1.5 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 4 THEN 1.0 WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 2 THEN .5 ELSE 0 END AS raw FROM links l) SELECT page_id, pos, target, round(CAST(least(greatest(raw, 0), 10) AS DOUBLE), 6) AS intrinsic, round(CAST(coalesce(.7 * least(greatest(raw, 0), 10) + .3 * least(relevance * 10, 10), least(greatest(raw, 0), 10)) AS DOUBLE), 6) AS total FROM s LEFT JOIN heads USING (target)")
+@query(LINKS + ", heads AS (SELECT DISTINCT target, len(target) % 10 / 10.0 AS relevance FROM links WHERE len(target) % 3 = 0), s AS (SELECT page_id, pos, l.target, text, CASE WHEN len(target) - len(replace(target, '/', '')) - 2 <= 2 THEN 1.0 WHEN len(target) - len(replace(target, '/', '')) - 2 > 5 THEN -0.5 ELSE 0 END + CASE WHEN starts_with(target, 'https://') THEN .5 ELSE 0 END + CASE WHEN len(text) > 3 THEN 1 ELSE 0 END - CASE WHEN lower(text) IN ('here', 'link', 'more info', 'read more', 'click here') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(target), '/(docs|api|guide|tutorial|reference|manual)/') THEN 2.0 WHEN regexp_matches(lower(target), '/(blog|article|post|news)/') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(lower(target), '/(admin|login|cart|checkout|track|click)/') THEN 1.5 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 4 THEN 1.0 WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 2 THEN .5 ELSE 0 END AS raw FROM links l) SELECT page_id, pos, target, round(CAST(least(greatest(raw, 0), 10) AS DOUBLE), 6) AS intrinsic, round(CAST(coalesce(.7 * least(greatest(raw, 0), 10) + .3 * least(relevance * 10, 10), least(greatest(raw, 0), 10)) AS DOUBLE), 6) AS total FROM s LEFT JOIN heads USING (target)")
 def head_merge_left_join(spark, d):
     own = page_links(spark, d)
     heads = own.where(F.length("target") % 3 == 0).select(F.col("target").alias("url"), (F.length("target") % 10 / 10.0).alias("relevance")).distinct()
@@ -108,7 +108,7 @@ def url_normalize(spark, d):
     return t(spark, d, "pages").select("page_id", U.normalise(F.col("url")).alias("u"))
 
 
-_DEEP = "array_to_string(list_filter(string_split({q}, '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND regexp_extract(x, '^([^=]*)', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'ref', 'fbclid')), '&')".replace("{q}", at(QUERY))
+_DEEP = "array_to_string(list_filter(string_split({q}, '&'), lambda x: regexp_matches(x, '^[^=]+=.') AND regexp_extract(x, '^([^=]*)', 1) NOT IN ('fbclid', 'ref', 'utm_campaign', 'utm_medium', 'utm_source')), '&')".replace("{q}", at(QUERY))
 
 
 @query(f"SELECT page_id, {at(SCHEME)} || '://' || {at(HOST)} || regexp_replace({at(PATH)}, '/+$', '') || CASE WHEN {_DEEP} <> '' THEN '?' || {_DEEP} ELSE '' END AS u FROM pages")
@@ -184,7 +184,7 @@ def filter_seo(spark, d):
     return t(spark, d, "pages").select("page_id", F.round(s, 6).alias("score"))
 
 
-@query(f"SELECT page_id, len(trim({at(PATH)}, '/')) < 3 AND {at(PATH)} NOT IN ('/', '/en', '/de', '/fr', '/es', '/it') OR regexp_matches({at(PATH)}, '/admin|/login|/search|/404|/error|/cart') AS nonsense FROM pages")
+@query(f"SELECT page_id, len(trim({at(PATH)}, '/')) < 3 AND {at(PATH)} NOT IN ('/de', '/', '/es', '/en', '/it', '/fr') OR regexp_matches({at(PATH)}, '/admin|/login|/search|/404|/error|/cart') AS nonsense FROM pages")
 def nonsense_urls(spark, d):
     return t(spark, d, "pages").select("page_id", U.is_nonsense(F.col("url")).alias("nonsense"))
 
@@ -651,13 +651,13 @@ def link_citations(spark, d):
 
 @query()
 def extract_css(spark, d):
-    schema = {"baseSelector": "nav li", "fields": [{"name": "label", "selector": "a", "type": "text"}, {"name": "href", "selector": "a", "type": "attribute", "attribute": "href"}, {"name": "size", "type": "computed", "expression": "length(label)"}]}
+    schema = {"baseSelector": "nav li", "fields": [dict(name="label", type="text", selector="a"), dict(name="href", type="attribute", attribute="href", selector="a"), dict(name="size", type="computed", expression="length(label)")]}
     return S.extract(t(spark, d, "pages"), schema)
 
 
 @query()
 def extract_xpath(spark, d):
-    schema = {"baseSelector": "//nav//li", "fields": [{"name": "label", "selector": ".//a", "type": "text"}, {"name": "href", "selector": ".//a[@href]", "type": "attribute", "attribute": "href"}]}
+    schema = {"baseSelector": "//nav//li", "fields": [dict(name="label", type="text", selector=".//a"), dict(name="href", type="attribute", attribute="href", selector=".//a[@href]")]}
     return S.extract(t(spark, d, "pages"), schema, by="xpath")
 
 
