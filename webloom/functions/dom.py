@@ -130,7 +130,7 @@ class _Builder(HTMLParser):
 def parse(source: str | None) -> Node:
     """The tree of a page, which may be broken or empty. Comments are left out."""
     b = _Builder()
-    b.feed(source or "")
+    b.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", source or ""))  # a tag that the end cuts off
     b.close()
     return b.root
 

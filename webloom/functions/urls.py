@@ -242,7 +242,7 @@ def link_score(u: Column, text: Column, title: Column, css: Column, rel: Column)
 def total_link_score(intrinsic: Column, contextual: Column) -> Column:
     """70 parts intrinsic, 30 contextual where there is one; 0 to 10."""
     both = 0.7 * intrinsic + 0.3 * F.least(contextual * 10, F.lit(10.0))
-    return F.least(F.greatest(F.coalesce(both, intrinsic), F.lit(0.0)), F.lit(10.0))
+    return F.least(F.greatest(F.when(contextual.isNull(), intrinsic).otherwise(both), F.lit(0.0)), F.lit(10.0))
 
 
 def url_relevance(terms: list[str], u: Column) -> Column:

@@ -96,7 +96,7 @@ def link_preview_filter(spark, d):
     return links.preview_filter(page_links(spark, d), most=4).select("page_id", "target", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query(LINKS + ", heads AS (SELECT DISTINCT target, len(target) % 10 / 10.0 AS relevance FROM links WHERE len(target) % 3 = 0), s AS (SELECT page_id, pos, l.target, text, CASE WHEN len(target) - len(replace(target, '/', '')) - 2 <= 2 THEN 1.0 WHEN len(target) - len(replace(target, '/', '')) - 2 > 5 THEN -0.5 ELSE 0 END + CASE WHEN starts_with(target, 'https://') THEN .5 ELSE 0 END + CASE WHEN len(text) > 3 THEN 1 ELSE 0 END - CASE WHEN lower(text) IN ('here', 'link', 'more info', 'read more', 'click here') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(target), '/(docs|api|guide|tutorial|reference|manual)/') THEN 2.0 WHEN regexp_matches(lower(target), '/(blog|article|post|news)/') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(lower(target), '/(admin|login|cart|checkout|track|click)/') THEN 1.5 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 4 THEN 1.0 WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 2 THEN .5 ELSE 0 END AS raw FROM links l) SELECT page_id, pos, target, round(CAST(least(greatest(raw, 0), 10) AS DOUBLE), 6) AS intrinsic, round(CAST(coalesce(.7 * least(greatest(raw, 0), 10) + .3 * least(relevance * 10, 10), least(greatest(raw, 0), 10)) AS DOUBLE), 6) AS total FROM s LEFT JOIN heads USING (target)")
+@query(LINKS + ", heads AS (SELECT DISTINCT target, len(target) % 10 / 10.0 AS relevance FROM links WHERE len(target) % 3 = 0), s AS (SELECT page_id, pos, l.target, text, CASE WHEN len(target) - len(replace(target, '/', '')) - 2 <= 2 THEN 1.0 WHEN len(target) - len(replace(target, '/', '')) - 2 > 5 THEN -0.5 ELSE 0 END + CASE WHEN starts_with(target, 'https://') THEN .5 ELSE 0 END + CASE WHEN len(text) > 3 THEN 1 ELSE 0 END - CASE WHEN lower(text) IN ('here', 'link', 'more info', 'read more', 'click here') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(target), '/(docs|api|guide|tutorial|reference|manual)/') THEN 2.0 WHEN regexp_matches(lower(target), '/(blog|article|post|news)/') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(lower(target), '/(admin|login|cart|checkout|track|click)/') THEN 1.5 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 4 THEN 1.0 WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 2 THEN .5 ELSE 0 END AS raw FROM links l) SELECT page_id, pos, target, round(CAST(least(greatest(raw, 0), 10) AS DOUBLE), 6) AS intrinsic, round(CAST(CASE WHEN relevance IS NULL THEN least(greatest(raw, 0), 10) ELSE .7 * least(greatest(raw, 0), 10) + .3 * least(relevance * 10, 10) END AS DOUBLE), 6) AS total FROM s LEFT JOIN heads USING (target)")
 def head_merge_left_join(spark, d):
     own = page_links(spark, d)
     heads = own.where(F.length("target") % 3 == 0).select(F.col("target").alias("url"), (F.length("target") % 10 / 10.0).alias("relevance")).distinct()
