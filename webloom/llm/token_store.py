@@ -5,7 +5,8 @@ ascending order of the key. In each shard, rounds replace the most frequent id p
 reaches over a document's end. A shard holds its rules, the expansion length of each symbol, the compressed sequence and
 the documents' places, so any document or id range can be decoded without the rest.
 
-Null and empty texts are the end id alone. Rows of equal keys are all kept, next to each other. An empty table gives no file.
+Null and empty texts are the end id alone. Rows of equal keys are all kept, next to each other; rows without a key have no
+place in the order and aren't written. An empty table gives no file.
 Other columns of the input are not read.
 
 File: b"RPR1", uint32 length of the JSON header, header, then little-endian arrays in the header's order.
