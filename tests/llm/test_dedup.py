@@ -49,6 +49,19 @@ def test_near_empty_and_repeated_rows(spark):
     assert {r["doc_id"] for r in near_dedup.dedup(spark.createDataFrame([r for r in rows if r[0]], schema)).collect()} == {1, 2, 3}
 
 
+def test_near_dedup_with_null_and_repeated_keys(spark):
+    schema = "doc_id long, text string, x string"
+    left, right = (" ".join(f"{c}{k}" for k in range(40)) for c in "lr")
+    rows = [(5, left, "a"), (5, right, "b"), (3, f"{left} end", "c"), (9, f"{right} end", "d"), (5, left.upper(), "e"), (7, None, "f"), (7, "", "g"), (8, " ", "h")]
+    none = [(None, left, "n1"), (None, "other words of no key", "n2"), (None, None, "n3"), (None, right, "n4")]
+    got = near_dedup.dedup(spark.createDataFrame(rows + none, schema))
+    assert got.columns == ["doc_id", "text", "x"]
+    kept = {r["x"] for r in got.collect()}
+    assert {"c", "b", "h", "n1", "n2", "n3", "n4"} <= kept and len(kept & {"f", "g"}) == 1 and not kept & {"a", "d", "e"}
+    single = near_dedup.dedup(spark.createDataFrame([rows[0], rows[2], rows[3], *none], schema))
+    assert {r["x"] for r in single.collect()} == {"c", "d", "n1", "n2", "n3", "n4"}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(5, 5)]

@@ -13,7 +13,8 @@ The work on a group follows its size, and pairs are confirmed best first, so tha
    signatures are compared in memory and only similar pairs over two components come out; these are confirmed as before.
 No bucket, partner or candidate is dropped, whatever its size.
 
-Rows that share a doc_id count as one document. Null text has an empty set. Result columns replace columns of those names.
+In near_duplicates(), whose result is by doc_id, rows that share a doc_id count as one document; dedup() judges each row by
+its own text. Null text has an empty set. Result columns replace columns of those names.
 """
 
 from __future__ import annotations
@@ -282,9 +283,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component, the row of the least key (of several such rows, any one). Rows without a key stay."""
-    found = materialize(near_duplicates(docs, words, percent, key, text), "near")
-    dropped = found.where("not kept").select(F.col(key).alias("_dropped"))
-    out = docs.join(dropped.distinct(), F.col(key).cast("bigint") == F.col("_dropped"), "left_anti")
-    twice = found.groupBy(key).count().where(f"`{key}` is not null and count > 1").limit(1).count()
-    return out.dropDuplicates([key]) if twice else out
+    """The rows of docs without near-duplicates: of each component, the row of the least key (of several such rows, the one of the least hash of its text). Rows without words are linked with nothing: one of each key stays. Rows that share a key are linked by their texts alone. Rows without a key stay and link nothing."""
+    number = F.col(key).cast("bigint")
+    if not docs.where(number.isNotNull()).groupBy(number.alias("_key")).count().where("count > 1").limit(1).count():
+        found = materialize(near_duplicates(docs, words, percent, key, text), "near")
+        dropped = found.where("not kept").select(F.col(key).alias("_dropped"))
+        return docs.join(dropped, number == F.col("_dropped"), "left_anti")
+    # A key doesn't tell the rows apart: a row's place, written with it, does.
+    rows = materialize(docs.where(number.isNotNull()).withColumn("_place", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, words, percent, "_place", text).select("_place", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    told = rows.select("_place", number.alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_hash")).join(found, "_place")
+    first = told.groupBy("_group", F.when(F.col("_group").isNull(), F.col("_key")).alias("_alone")).agg(F.min(F.struct("_key", "_hash", "_place")).alias("_first"))
+    kept = materialize(first.select("_first._place"), "kept")
+    return rows.join(kept, "_place", "left_semi").select(*docs.columns).unionByName(docs.where(number.isNull()))
