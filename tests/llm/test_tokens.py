@@ -90,3 +90,17 @@ def test_token_files(spark):
         assert (at, doc, n, crc) == (start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_store.round_trip(docs.limit(0), path).count() == 0
+
+
+def test_op7_matches_added_tokens(spark, tmp_path):
+    from webloom.llm import queries
+
+    t = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rows = list(enumerate([*TEXTS, "a <|endoftext|><|endoftext|>  b", "<|endoftext|>", "it's<|endoftext|>s <|endoftext"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op7_token_store(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()}
+    start = 0
+    for i, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

@@ -85,7 +85,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_store.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ File: b"RPR1", uint32 length of the JSON header, header, then little-endian arra
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 
@@ -144,11 +145,11 @@ class Shard:
         return expand(self.seq[a:b], self.rules, self.first)[start - self._begin[a] : stop - self._begin[a]]
 
 
-_models: dict[str, tuple[WordTable, int]] = {}
+_models: dict[str, tuple[WordTable, int, dict[str, int]]] = {}
 
 
-def _model(path: str) -> tuple[WordTable, int]:
-    """Ids of words from the library, and the size of its vocabulary."""
+def _model(path: str) -> tuple[WordTable, int, dict[str, int]]:
+    """Ids of words from the library, the size of its vocabulary, and its added tokens."""
     if path not in _models:
         from tokenizers import Tokenizer
 
@@ -166,15 +167,41 @@ def _model(path: str) -> tuple[WordTable, int]:
                 size[k] = len(own)
             return np.array(ids, np.int32), size
 
-        _models[path] = WordTable(encode, 400_000), t.get_vocab_size()
+        added = t.get_added_tokens_decoder()
+        if any(x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError("added tokens that take in what is around them aren't matched here")
+        _models[path] = WordTable(encode, 400_000), t.get_vocab_size(), {x.content: i for i, x in added.items()}
     return _models[path]
 
 
-def write_shards(docs: DataFrame, out: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = 4 << 20) -> DataFrame:
+def _with_added(words: WordTable, added: dict[str, int], column):
+    """Ids of each row of an Arrow string column, as the library gives them: texts are split at the added tokens first."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not any(pc.any(pc.match_substring(column, x)).as_py() for x in added):
+        yield from words.encode_column(column)
+        return
+    at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    pieces, marks = [], []
+    for t in column.to_pylist():
+        parts = at.split(t or "")
+        pieces += parts[::2]
+        marks.append([np.array([added[x]], np.int32) for x in parts[1::2]])
+    own = iter(words.encode_column(pa.array(pieces, pa.string())))
+    for mark in marks:
+        row = [next(own)]
+        for x in mark:
+            row += [x, next(own)]
+        yield np.concatenate(row)
+
+
+def write_shards(docs: DataFrame, out: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = 4 << 20, added_tokens: bool = False) -> DataFrame:
     """Write the shard files under out; the manifest: (shard long in order of the keys, path, n_docs, n_ids, start: ids in the shards before).
 
     The rows are range-partitioned and sorted by the key; a task writes a shard whenever it holds shard_ids ids. File names
     are unique to an attempt and the manifest is itself a committed table, so a retried task leaves at most an unread file.
+    With added_tokens the vocabulary's added tokens are matched in the texts, as the library's default is; else they are ordinary text.
     """
     import pyarrow as pa
     from pyspark import TaskContext
@@ -185,7 +212,7 @@ def write_shards(docs: DataFrame, out: str, vocabulary: str, key: str = "doc_id"
     def run(batches):
         import uuid
 
-        words, first = _model(vocabulary)
+        words, first, added = _model(vocabulary)
         part, k, held, keys, rows = TaskContext.get().partitionId(), 0, 0, [], []
 
         def flush():
@@ -197,7 +224,7 @@ def write_shards(docs: DataFrame, out: str, vocabulary: str, key: str = "doc_id"
 
         end = np.array([end_id], np.int32)
         for b in batches:
-            for x, row in zip(b.column(0).to_pylist(), words.encode_column(b.column(1)), strict=True):
+            for x, row in zip(b.column(0).to_pylist(), _with_added(words, added if added_tokens else {}, b.column(1)), strict=True):
                 keys.append(x)
                 rows.append(np.concatenate([row, end]))
                 held += len(row) + 1
@@ -236,9 +263,9 @@ def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     return spread.mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", added_tokens: bool = False) -> DataFrame:
     """Write to the shared folder and read back."""
-    return read_shards(write_shards(docs, scratch(docs.sparkSession, "tokens"), vocabulary, key, text), key)
+    return read_shards(write_shards(docs, scratch(docs.sparkSession, "tokens"), vocabulary, key, text, added_tokens=added_tokens), key)
 
 
 def remove(uri: str) -> None:
