@@ -63,6 +63,13 @@ def test_pii_method(spark, pii_model):
     assert got[1] == "write to [email] now" and "[phone]" in got[2] and "[iban]" in got[3] and got[4] == rows[3][1] and got[5] == "[secret]"
 
 
+def test_pii_long_secrets(spark, pii_model):
+    long = "".join("aB3dE6gH9jK2mN5pQ8"[i * i % 18] for i in range(150)) + "x7Y8z9W0" * 8
+    rows = [(1, f"see {long} there"), (2, f"token = {long} there"), (3, f"password={long} there"), (4, "=" * 300)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, SCHEMA), pii_model).collect()}
+    assert got == {1: "see [secret] there", 2: "[secret] there", 3: "[secret] there", 4: "=" * 300}
+
+
 def test_boosting():
     r = np.random.default_rng(0)
     x = r.normal(size=(1500, 4))

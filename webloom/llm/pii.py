@@ -39,7 +39,7 @@ _PROPOSALS = {
     "phone": (r"(?<![0-9A-Za-z.])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])", r"[0-9][)\x20./-]{1,3}[0-9]"),
     "card": (r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20. -][0-9]{2,6}){2,4}(?![0-9A-Za-z])", r"[0-9]{4}[\x20. -][0-9]{2}"),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
-    "secret": (r"(?<![A-Za-z0-9/+_=-])[A-Za-z0-9/+_=-]{16,128}+(?![A-Za-z0-9/+_=-])|(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[^\s\"']{6,128}", r"(?i)password|passwd|pwd|token|secret|api[_-]?key|[A-Za-z0-9/+_=-]{16}"),
+    "secret": (r"(?<![A-Za-z0-9/+_=-])[A-Za-z0-9/+_=-]{16,}+(?![A-Za-z0-9/+_=-])|(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[^\s\"']{6,}+", r"(?i)password|passwd|pwd|token|secret|api[_-]?key|[A-Za-z0-9/+_=-]{16}"),
 }
 _CUES = {"email": r"(?i)mail|contact|write|kontakt|correo|courriel", "phone": r"(?i)tel|phone|call|mobile|fax|cell|ruf|llam|appel", "card": r"(?i)card|visa|master|amex|karte|tarjeta|carte", "iban": r"(?i)iban|account|bank|konto|cuenta|compte", "secret": r"(?i)password|passwd|pwd|token|secret|key|login|credential"}
 _AGAINST = r"(?i)isbn|version|\bv[0-9]|figure|page|order|room|score|section|year|from [0-9]|\$|€|%"
@@ -163,6 +163,7 @@ def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"password={code(18)}",
         lambda: f"{pick('api_key', 'token', 'secret')} = \"{code(pick(32, 40))}",
         lambda: f"AKIA{code(16, upper)}",
+        lambda: f"{pick('', 'password=', 'token = ')}{code(int(r.integers(129, 400)), upper + upper.lower())}",
         lambda: f"{pick('pwd', 'passwd')}: {word()}{digits(4)}!{code(3, upper)}",
     ]
     bad = [
@@ -177,6 +178,7 @@ def examples(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"{'=' * int(r.integers(16, 60))}",
         lambda: f"{'-_' * int(r.integers(9, 30))}",
         lambda: "".join(word() for _ in range(8)),
+        lambda: pick("=", "-_", "abc/", word()) * int(r.integers(130, 300)),
         lambda: f"/{word()}/{word()}/{word()}/{word()}/{word()}",
         lambda: f"AB{digits(2)} {code(4, upper)} {code(4, upper)}",
         lambda: f"{pick('secret: ', 'token: ', 'the key = ')}{word()}{word()}",
