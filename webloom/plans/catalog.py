@@ -485,10 +485,11 @@ def cluster_cosine(spark, d):
 
 @query()
 def cosine_filter_backfill(spark, d):
-    """Rows above a similarity in input order, then the best of the rest up to a number."""
-    _, q, kb = _points(spark, d)
-    s = vectors.similarities(kb, q.where("vec_id = 0"))
-    return s.withColumn("over", F.col("sim") >= 0.3).orderBy(F.desc("over"), F.when(F.col("over"), F.col("vec_id")), F.desc("sim")).limit(20).select("vec_id", F.round("sim", 5).alias("sim"))
+    """Of each query point, the other rows above a similarity in input order, then the best of the rest up to a number."""
+    v, q, _ = _points(spark, d)
+    s = vectors.similarities(v, q).where("q <> vec_id").withColumn("over", F.col("sim") >= 0.3)
+    w = W.partitionBy("q").orderBy(F.desc("over"), F.when(F.col("over"), F.col("vec_id")), F.desc("sim"), "vec_id")
+    return s.withColumn("r", F.row_number().over(w)).where("r <= 20").select("q", "vec_id", F.round("sim", 5).alias("sim"))
 
 
 # Graph, cache, telemetry.
