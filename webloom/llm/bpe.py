@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .spans import chunks, gather, pretoken_starts, span_hashes
+from .spans import LONG, chunks, gather, lanes, pretoken_starts, span_hashes
 
 _NONE = np.int64(1 << 40)
-#: Positions that are looked up at a time, and bytes of text whose new words are encoded together.
-_PIECE, _GROUP = 1 << 18, 24 << 20
+#: Positions that are looked up at a time, and bytes of text that are scanned and whose new words are encoded together.
+_PIECE, _SCAN, _GROUP = 1 << 18, 2 << 20, 24 << 20
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,12 +50,11 @@ class MergeReplay:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], _NONE)
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after another, their number for each word). A word that is a token itself is that token."""
-        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def encode(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data: words one after another, size: the bytes of each. (ids of all words one after another, their number for each word). A word that is a token itself is that token."""
         begin = np.cumsum(size) - size
+        raw, get = data.tobytes(), self.ranks.get
+        whole = np.fromiter((get(raw[a:z], -1) for a, z in zip(begin.tolist(), (begin + size).tolist(), strict=True)), np.int64, len(size))
         n = len(data)
         tok = self.byte[data].astype(np.int32)
         nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
@@ -123,50 +123,88 @@ class MergeReplay:
 
 
 class WordTable:
-    """Ids of the distinct pre-tokens that a task has met; it is emptied when it holds more than most."""
+    """Ids of the distinct pre-tokens that a task has met; it is emptied when it holds more than most.
 
-    def __init__(self, encode, most: int = 300_000):
+    Words are looked up by hash and then compared byte by byte, so ids don't hang on the hash. encode: as MergeReplay.encode().
+    """
+
+    def __init__(self, encode, most: int = 1_200_000):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.hashes, self.entry = np.zeros(0, np.uint64), none  # sorted; the word of each
+        self.raw, self.begin, self.bytes = np.zeros(0, np.uint8), none, none
+        self.ids, self.at, self.size = np.zeros(0, np.int32), none, none
 
     def encode_column(self, column) -> Iterator[np.ndarray]:
         """The ids of each text. The new words of some megabytes of text are encoded together."""
         group, size = [], 0
-        for part in chunks(column):
-            group.append(part)
-            size += len(part[2])
+        for _, _, data, off in chunks(column, _SCAN):
+            if not size and len(self.bytes) > self.most:
+                self._clear()
+            group.append(self._words(data, off))
+            size += len(data)
             if size >= _GROUP:
-                yield from self._encode(group)
+                yield from self._rows(group)
                 group, size = [], 0
-        yield from self._encode(group)
-
-    def _encode(self, group: list) -> Iterator[np.ndarray]:
-        if len(self.at) > self.most:
-            self._clear()
-        at, fresh, parts, known = self.at, [], [], len(self.at)
-        for _, _, data, off in group:
-            starts = pretoken_starts(data, off)
-            ends = np.append(starts[1:], len(data))
-            h, first, inverse = np.unique(span_hashes(data, starts, ends[: len(starts)]), return_index=True, return_inverse=True)
-            where = np.empty(len(h), np.int32)
-            for k, (x, i) in enumerate(zip(h.tolist(), first.tolist(), strict=True)):
-                j = at.get(x)
-                if j is None:
-                    j = at[x] = known + len(fresh)
-                    fresh.append(data[starts[i] : ends[i]].tobytes())
-                where[k] = j
-            parts.append((where[inverse], np.searchsorted(starts, off)))
-        if fresh:
-            ids, size = self.encode(fresh)
+        yield from self._rows(group)
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.raw) + np.cumsum(size) - size])
+        self.raw = np.concatenate([self.raw, data[gather(starts, size)]])
+        self.bytes = np.concatenate([self.bytes, size])
+
+    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the word of each pre-token, the first pre-token of each row and the number of all)."""
+        starts = pretoken_starts(data, off)
+        size = np.diff(np.append(starts, len(data)))
+        h, first, inverse = np.unique(span_hashes(data, starts, starts + size), return_index=True, return_inverse=True)
+        near = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        known = self.hashes[near] == h if len(self.hashes) else np.zeros(len(h), bool)
+        entry = np.empty(len(h), np.int64)
+        entry[known] = self.entry[near[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            entry[fresh] = len(self.bytes) + np.arange(len(fresh))
+            at = np.searchsorted(self.hashes, h[fresh])
+            self.hashes, self.entry = np.insert(self.hashes, at, h[fresh]), np.insert(self.entry, at, entry[fresh])
+            self._add(data, starts[first[fresh]], size[first[fresh]])
+        word = entry[inverse]
+        other = self._differing(data, starts, size, word)
+        if len(other):  # words whose hash another word has
+            own: dict[bytes, int] = {}
+            for i in other.tolist():
+                w = data[starts[i] : starts[i] + size[i]].tobytes()
+                if w not in own:
+                    own[w] = len(self.bytes)
+                    self._add(data, starts[i : i + 1], size[i : i + 1])
+                word[i] = own[w]
+        return word.astype(np.int32), np.searchsorted(starts, off)
+
+    def _differing(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Indices of the pre-tokens whose bytes aren't those of their word."""
+        a, b, begin = lanes(data), lanes(self.raw), self.begin[word]
+        bad = (size != self.bytes[word]) | ((a[starts] ^ b[begin]) & _KEEP[np.minimum(size, 8)] != 0)
+        rest, k = np.flatnonzero((size > 8) & ~bad), 8
+        while len(rest) and k < LONG:
+            bad[rest] = (a[starts[rest] + k] ^ b[begin[rest] + k]) & _KEEP[np.minimum(size[rest] - k, 8)] != 0
+            k += 8
+            rest = rest[(size[rest] > k) & ~bad[rest]]
+        for i in rest.tolist():
+            bad[i] = not np.array_equal(data[starts[i] : starts[i] + size[i]], self.raw[begin[i] : begin[i] + size[i]])
+        return np.flatnonzero(bad)
+
+    def _rows(self, group: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        done = len(self.size)
+        if done < len(self.bytes):
+            ids, size = self.encode(self.raw[self.begin[done] :], self.bytes[done:])
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
             self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
-        begin = np.cumsum(self.size) - self.size
-        for words, cut in parts:
-            size = self.size[words]
-            ids = self.ids[gather(begin[words], size)]
+        for word, cut in group:
+            size = self.size[word]
+            ids = self.ids[gather(self.at[word], size)]
             total = np.concatenate([[0], np.cumsum(size)])[cut]
             for a, b in zip(total[:-1].tolist(), total[1:].tolist(), strict=True):
                 yield ids[a:b]

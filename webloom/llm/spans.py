@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,18 +15,10 @@ _LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _PINV)):
-            a = np.full(max(n, CHUNK + (CHUNK >> 1)), base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers
+#: Spans of more bytes are hashed by BLAKE2b.
+LONG = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD_SIZE, _ODD_LANE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,12 +31,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, little-endian; beyond the end are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hasher(data: np.ndarray):
-    """A function of (starts, ends) that gives a 64-bit hash of each data[start:end]: a polynomial of its bytes modulo 2**64, mixed."""
-    fwd, inv = _power_tables(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * fwd[: len(data)], out=c[1:])
-    return lambda starts, ends: mix((c[ends] - c[starts]) * inv[starts])
+    """A function of (starts, ends) that gives a 64-bit hash of each data[start:end]: its eight-byte lanes one after the other, each mixed in by a finaliser; spans of more than LONG bytes by BLAKE2b."""
+    eight = lanes(data)
+
+    def hash_(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        h = mix((eight[starts] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ODD_SIZE))
+        rest, k = np.flatnonzero(size > 8), 8
+        while len(rest) and k < LONG:
+            lane = eight[starts[rest] + k] & _KEEP[np.minimum(size[rest] - k, 8)]
+            h[rest] = mix(h[rest] ^ (lane * _ODD_LANE + np.uint64(k)))
+            k += 8
+            rest = rest[size[rest] > k]
+        for i in rest.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return h
+
+    return hash_
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
