@@ -1,10 +1,11 @@
 """Benchmark decontamination by a distributed positional inverted index; DataFrame operations only.
 
-The index holds the postings (term, row, position) of the corpus for the terms of the test set, the only ones that a lookup
-can ask for; it is a written table that further lookups reuse. A window of `WINDOW` consecutive item words (an item of fewer is
+The index holds the postings (term, row, position) of every word of the corpus; it is a written table that further lookups, also
+with other test sets, reuse. A window of `WINDOW` consecutive item words (an item of fewer is
 one window) is found from its rarest terms: the postings of the `RAREST` rarest, shifted by their offsets, meet in candidate
 alignments (row, item, diagonal); all words of the surviving alignments are then intersected with the index, and runs of
-`WINDOW` aligned positions are the exact matches. Counts of terms are taken over the whole index.
+`WINDOW` aligned positions are the exact matches. Counts of terms are taken over the whole index. A term stands in the index as
+its 64-bit hash; a false match would take a collision at every word of a window that differs.
 
 Rows are told apart by their place in the input, so repeated doc_ids, also with different texts, are each judged on their
 own. Null and empty texts have no words and aren't contaminated; items without words match nothing. An empty test set or
@@ -45,38 +46,46 @@ def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings: (tid, row, pos); rows: (row, the key, n_words); terms: (term, tid)."""
+    """postings: (tid, row, pos) of all words; rows: (row, the key, n_words)."""
 
     postings: DataFrame
     rows: DataFrame
-    terms: DataFrame
     key: str
 
 
+def term_id(term: Column) -> Column:
+    """What stands for a term in the index: its hash, never 0."""
+    h = F.xxhash64(term)
+    return F.when(h == 0, F.lit(1).cast("bigint")).otherwise(h)
+
+
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item: the row's place, the key, n: words of the item, ipos, term)."""
+    """(item: the row's place, the key, n: words of the item, ipos, tid)."""
     listed = items.select(F.monotonically_increasing_id().alias("item"), F.col(key).alias("item_id"), words(F.col(text)).alias("w"))
-    return listed.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term"))
+    return listed.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term")).select("item", "item_id", "n", "ipos", term_id(F.col("term")).alias("tid"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """Index the corpus for the terms (column term). One pass over the texts, without a shuffle of postings."""
-    known = materialize(terms.select("term").distinct().select("term", F.xxhash64("term").alias("tid")).where("tid <> 0"), "terms")
-    if known.select("tid").distinct().count() < known.count():
-        raise ValueError("two terms share a 64-bit hash")
-    end = docs.sparkSession.createDataFrame([("", 0)], "term string, tid bigint")  # the entry after the last word: there is one a row
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """Index every word of the corpus. One pass over the texts, without a shuffle of postings."""
+    # After the last word of each row comes an entry (tid 0) with its key: its position is the number of words.
     listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("_key"), F.concat(words(F.col(text)), F.array(F.lit(""))).alias("w"))
     entries = listed.select("row", "_key", F.posexplode("w").alias("pos", "term"))
-    vocabulary = known.unionByName(end)
-    written = materialize(entries.join(_maybe_broadcast(vocabulary), "term").select("tid", "row", "pos", F.when(F.col("tid") == 0, F.col("_key")).alias("_key")), "postings")
+    tid = F.when(F.col("term") == "", F.lit(0).cast("bigint")).otherwise(term_id(F.col("term")))
+    written = materialize(entries.select(tid.alias("tid"), "row", "pos", F.when(F.col("term") == "", F.col("_key")).alias("_key")), "postings")
     rows = written.where("tid = 0").select("row", F.col("_key").alias(key), F.col("pos").cast("bigint").alias("n_words"))
-    return Index(written.where("tid <> 0").select("tid", "row", "pos"), rows, known, key)
+    return Index(written.where("tid <> 0").select("tid", "row", "pos"), rows, key)
+
+
+def _placed(index: Index, items: DataFrame) -> DataFrame:
+    """The items' words with the number of postings of each (df). Only postings of the items' terms leave the scan."""
+    terms = materialize(items.select("tid").distinct(), "terms")
+    df = index.postings.join(_maybe_broadcast(terms), "tid", "left_semi").groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    return materialize(items.join(df, "tid", "left").select("item", "item_id", "n", "ipos", "tid", F.coalesce("df", F.lit(0)).alias("df")), "item-words")
 
 
 def phrase_matches(index: Index, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """items: as item_words() gives. (row, item, item_id, start, size) of every occurrence of a window; row as in the index."""
-    df = index.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    placed = materialize(items.join(index.terms, "term").join(df, "tid", "left").select("item", "item_id", "n", "ipos", "tid", F.coalesce("df", F.lit(0)).alias("df")), "item-words")
+    placed = _placed(index, items)
     # Of each window, the places of its rarest terms; windows with a term that the corpus lacks can't occur.
     per_item = placed.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("ipos", "df", "tid"))).alias("w"))
     size = F.least("n", F.lit(window))
@@ -99,8 +108,7 @@ def phrase_matches(index: Index, items: DataFrame, window: int = WINDOW, rarest:
 
 def proximity_matches(index: Index, items: DataFrame, slop: int) -> DataFrame:
     """(row, item, item_id, pos): places of an item's rarest term around which every other word of the item occurs within slop of its own offset, in any order."""
-    df = index.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    placed = materialize(items.join(index.terms, "term").join(df, "tid", "left").select("item", "item_id", "n", "ipos", "tid", F.coalesce("df", F.lit(0)).alias("df")), "item-words")
+    placed = _placed(index, items)
     anchor = placed.groupBy("item").agg(F.min(F.struct("df", "ipos", "tid")).alias("a")).select("item", F.col("a.ipos").alias("apos"), F.col("a.tid").alias("tid"))
     at = index.postings.join(_maybe_broadcast(anchor), "tid").select("row", "item", "apos", F.col("pos").alias("at"))
     wanted = at.join(placed, "item").select("row", "item", "item_id", "n", "at", "ipos", "tid", (F.col("at") + F.col("ipos") - F.col("apos")).alias("want"))
@@ -108,11 +116,15 @@ def proximity_matches(index: Index, items: DataFrame, slop: int) -> DataFrame:
     return met.groupBy("row", "item", "item_id", "n", "at").agg(F.count_distinct("ipos").alias("k")).where("k = n").select("row", "item", "item_id", F.col("at").alias("pos"))
 
 
+def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str) -> tuple[Index, DataFrame]:
+    items = materialize(item_words(benchmark, item_key, item_text), "items")
+    index = build_index(docs, key, text)
+    return index, materialize(phrase_matches(index, items), "matches")
+
+
 def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
-    items = materialize(item_words(benchmark, item_key, item_text), "items")
-    index = build_index(docs, items, key, text)
-    hits = materialize(phrase_matches(index, items), "matches")
+    index, hits = _matches(docs, benchmark, key, text, item_key, item_text)
     covered = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     named = hits.select("row", F.col("item_id").cast("string").alias("i")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("i")), ",").alias("names"))
     out = index.rows.join(covered, "row", "left").join(named, "row", "left")
@@ -120,7 +132,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return out.select(key, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that aren't contaminated, whole. Of rows that share a key, all go if one is; rows without a key stay."""
-    bad = materialize(judge(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose texts hold no window of a benchmark item, whole. Rows are judged by their texts alone, whatever their keys; null and empty texts stay."""
+    told = F.sha2(F.col(text).cast("string").cast("binary"), 256)
+    index, hits = _matches(docs.select(told.alias("_told"), F.col(text).alias("_text")), benchmark, "_told", "_text", item_key, item_text)
+    rows = hits.select("row").distinct()
+    bad = materialize(index.rows.join(_maybe_broadcast(rows), "row", "left_semi").select("_told").distinct(), "contaminated")
+    bad = _maybe_broadcast(bad)
+    return docs.join(bad, told == bad["_told"], "left_anti")
