@@ -101,4 +101,4 @@ def threshold_for(score: np.ndarray, y: np.ndarray, precision: float) -> float:
     s, good = score[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     ends = np.append(s[1:] != s[:-1], True)
     ok = np.flatnonzero(ends & (good >= precision))
-    return float(s[ok[-1]]) if len(ok) else 1.0
+    return float(s[ok[-1]]) if len(ok) else float("inf")

@@ -2,8 +2,9 @@
 
 The base patterns (email, ip, card, phone) are always reported. Beside them, high-recall generators propose spans that may
 overlap; boosted trees score each candidate by format and context, and a threshold of its kind, calibrated for precision on
-examples that weren't fitted, selects it. Of selected spans that overlap, the longest stays, then the likeliest; a candidate that overlaps a base
-span is left out, as the base span covers the place. The model is fitted once from texts that this module makes.
+examples that weren't fitted, selects it. A candidate that overlaps a base span is left out, as the base span covers the place.
+Selected spans are gone through from left to right: of two that overlap, the longer stays, then the likelier, then the one of the
+first kind. The model is fitted once from texts that this module makes. The work on a text follows its length.
 
 Positions count code points, ends are exclusive. Null and empty texts have no spans; texts of any length are read whole.
 Repeated rows are judged each on its own. Result columns replace columns of their names; other ones may be kept by the caller.
@@ -46,32 +47,61 @@ _AGAINST = r"(?i)isbn|version|\bv[0-9]|figure|page|order|room|score|section|year
 _CONTEXT = 28
 
 
+#: Elements that _scan() goes through between two copies of what it has.
+_BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body asks for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, state: Column, none: Column, step) -> Column:
+    """What step(state, item) gives, item after item: a struct of the next state and `emit`, an array of what comes out (of the type of none).
+
+    The result grows by a block at a time, so the work is linear in the items up to some ten thousands and nearly so beyond.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        return _let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["emit"]).alias("out")))
+
+    def outer(acc: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    def blocks(own: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _BLOCK).cast("int")), lambda i: F.slice(own, i * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.aggregate(cut, F.struct(state.alias("state"), none.alias("out")), outer, lambda acc: acc["out"])
+
+    return _let(items, lambda own: F.when(F.size(own) > 0, blocks(own)).otherwise(none))
+
+
+def _none(fields: str) -> Column:
+    return F.expr(f"CAST(array() AS array<struct<{fields}>>)")
+
+
 def _spans(text: Column, pattern: str, worth: str) -> Column:
     """array<struct<start,end,hit,before,after>> of a pattern's matches, from left to right without overlaps. Places come from the lengths of the matches and of the pieces between them."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,hit:string,before:string,after:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    none = _none("start:int,end:int,hit:string,before:string,after:string")
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
         own = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.substring(x["gap"], -_CONTEXT, _CONTEXT).alias("before"), F.substring(x["next"], 1, 8).alias("after"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], own).alias("out"))
+        return F.struct(end.alias("state"), F.array(own).alias("emit"))
 
-    pieces = F.transform(hits, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("hit"), F.get(gaps, i + 1).alias("next")))
-    return F.when(text.rlike(worth), F.aggregate(pieces, zero, step, lambda acc: acc["out"])).otherwise(empty)
+    pieces = _let(both, lambda b: F.transform(b["hits"], lambda m, i: F.struct(F.get(b["gaps"], i).alias("gap"), m.alias("hit"), F.get(b["gaps"], i + 1).alias("next"))))
+    return F.when(text.rlike(worth), _scan(pieces, F.lit(0), none, step)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
+    """Whether a string of 12 to 19 digits passes the Luhn check; false for other lengths."""
 
-    def add(acc: Column, i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).try_cast("int")
-        v = F.when(i % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
-        return acc + v
+    def total(d: Column) -> Column:
+        places = F.transform(d, lambda x, i: F.when((F.size(d) - i) % 2 == 0, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x))
+        return F.aggregate(places, F.lit(0), lambda acc, x: acc + x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), lambda acc, i: acc + F.coalesce(add(F.lit(0), i), F.lit(0))) % 10 == 0
+    return F.when(F.length(digits).between(12, 19), _let(F.split(digits, "").cast("array<int>"), total) % 10 == 0).otherwise(False)
 
 
 def _digits(c: Column) -> Column:
@@ -81,7 +111,7 @@ def _digits(c: Column) -> Column:
 _VALID = {
     "email": lambda x: F.lit(True),
     "ip": lambda x: x["hit"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
-    "card": lambda x: F.length(_digits(x["hit"])).between(12, 19) & luhn(_digits(x["hit"])),
+    "card": lambda x: _let(_digits(x["hit"]), luhn),
     "phone": lambda x: F.length(_digits(x["hit"])).between(9, 15),
 }
 
@@ -91,21 +121,24 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(_spans(text, _PATTERN[kind], _WORTH[kind]), _VALID[kind])
 
 
+_CANDIDATE = "start:int,kind:int,end:int,hit:string,before:string,after:string,digits:string"
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<kind int,start,end,hit,before,after>> of all proposals; they may overlap."""
-    empty = F.expr("CAST(array() AS array<struct<kind:int,start:int,end:int,hit:string,before:string,after:string>>)")
+    """array<struct<start,kind int,end,hit,before,after,digits>> of all proposals; they may overlap."""
+    empty = _none(_CANDIDATE)
 
     def named(kind: str):
-        return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+        return lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"), _digits(x["hit"]).alias("digits"))
 
     each = [F.transform(_spans(text, p, w), named(kind)) for kind, (p, w) in _PROPOSALS.items()]
     return F.concat(empty, *each)
 
 
 def features(x: Column) -> list[Column]:
-    """Numbers of a candidate's format and context."""
+    """Numbers of a candidate's format and context; of a candidate with its digits."""
     hit, before = x["hit"], x["before"]
-    d = _digits(hit)
+    d = x["digits"]
     n = F.length(hit)
     count = lambda pattern: (n - F.length(F.regexp_replace(hit, pattern, ""))).cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -221,16 +254,51 @@ def fit(spark: SparkSession, n: int = 2400, precision: float = 0.97) -> Model:
     return _fitted[key]
 
 
+def _free(base: Column, proposed: Column) -> Column:
+    """The proposals that overlap no base span, by start. Base spans that begin no later reach to some place at most, one that begins later begins at some place at least."""
+    none = _none(_CANDIDATE)
+    blank = [F.lit("").alias(k) for k in ("hit", "before", "after", "digits")]
+    marks = F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("kind"), x["end"].alias("end"), *blank))
+
+    def forward(reach: Column, x: Column) -> Column:
+        mark = x["kind"] < 0
+        return F.struct(F.when(mark, F.greatest(reach, x["end"])).otherwise(reach).alias("state"), F.when(mark | (x["start"] >= reach), F.array(x)).otherwise(none).alias("emit"))
+
+    def backward(ahead: Column, x: Column) -> Column:
+        mark = x["kind"] < 0
+        return F.struct(F.when(mark, x["start"]).otherwise(ahead).alias("state"), F.when(~mark & (x["end"] <= ahead), F.array(x)).otherwise(none).alias("emit"))
+
+    once = _scan(F.array_sort(F.concat(proposed, marks)), F.lit(0), none, forward)
+    return F.when((F.size(base) > 0) & (F.size(proposed) > 0), F.reverse(_scan(F.reverse(once), F.lit(2**31 - 1), none, backward))).otherwise(F.array_sort(proposed))
+
+
+_CHOSEN = "s:struct<start:int,kind:int,end:int>,z:double"
+
+
+def _best(chosen: Column) -> Column:
+    """The selected spans without overlaps, from left to right. chosen: array<struct<s,z>> by start."""
+    none, nothing = _none(_CHOSEN), F.expr(f"CAST(NULL AS struct<{_CHOSEN}>)")
+
+    def step(last: Column, x: Column) -> Column:
+        rank = lambda v: F.struct((v["s"]["end"] - v["s"]["start"]).alias("n"), v["z"].alias("z"), (-v["s"]["kind"]).alias("k"))
+        apart = x["s"]["start"] >= last["s"]["end"]
+        better = F.when(apart | last.isNull() | (rank(x) > rank(last)), x).otherwise(last)
+        return F.struct(better.alias("state"), F.when(apart, F.array(last)).otherwise(none).alias("emit"))
+
+    # The last span comes out where a span behind all others follows.
+    end = F.array(F.struct(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(0).alias("kind"), F.lit(2**31 - 1).alias("end")).alias("s"), F.lit(0.0).alias("z")))
+    return F.when(F.size(chosen) > 1, _scan(F.concat(chosen, end), nothing, none, step)).otherwise(chosen)
+
+
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, kept columns, base: spans of the base patterns, spans: all). A span is struct<start,kind index,end>, in that order. No shuffle: every row is judged in place."""
     c = F.coalesce(F.col(text).cast("string"), F.lit(""))
     span = lambda x, k: F.struct(x["start"].alias("start"), (k if isinstance(k, Column) else F.lit(k)).alias("kind"), x["end"].alias("end"))
-    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
+    none = _none("start:int,kind:int,end:int")
     of_kind = lambda j: lambda x: span(x, j)  # noqa: E731  # a default argument would become the position
     base = F.concat(none, *[F.transform(base_spans(c, kind), of_kind(j)) for j, kind in enumerate(BASE)])
     one = docs.select(key, *keep, F.array_sort(base).alias("base"), candidates(c).alias("proposed"))
-    free = F.filter("proposed", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    two = one.select(key, *keep, "base", F.transform(free, lambda x: F.struct(span(x, x["kind"]).alias("s"), F.array(*features(x)).alias("f"))).alias("proposed"))
+    two = one.select(key, *keep, "base", F.transform(_free(F.col("base"), F.col("proposed")), lambda x: F.struct(span(x, x["kind"]).alias("s"), F.array(*features(x)).alias("f"))).alias("proposed"))
     scored = F.transform("proposed", lambda x: F.struct(x["s"].alias("s"), model.trees.column([F.get(x["f"], j) for j in range(model.n_features)]).alias("z")))
     three = two.select(key, *keep, "base", scored.alias("proposed"))
 
@@ -241,15 +309,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         return out
 
     four = three.select(key, *keep, "base", F.filter("proposed", passes).alias("chosen"))
-
-    def better(y: Column, x: Column) -> Column:
-        """y overlaps x and is longer, or as long and likelier, or comes first."""
-        n, m = y["s"]["end"] - y["s"]["start"], x["s"]["end"] - x["s"]["start"]
-        first = (y["s"]["kind"] < x["s"]["kind"]) | (y["s"]["kind"] == x["s"]["kind"]) & (y["s"]["start"] < x["s"]["start"])
-        return (y["s"]["start"] < x["s"]["end"]) & (x["s"]["start"] < y["s"]["end"]) & ((n > m) | (n == m) & ((y["z"] > x["z"]) | (y["z"] == x["z"]) & first))
-
-    best = F.filter("chosen", lambda x: ~F.exists(F.col("chosen"), lambda y: better(y, x)))
-    return four.select(key, *keep, "base", F.array_sort(F.concat("base", F.transform(best, lambda x: x["s"]))).alias("spans"))
+    return four.select(key, *keep, "base", F.array_sort(F.concat("base", F.transform(_best(F.col("chosen")), lambda x: x["s"]))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -270,6 +330,19 @@ def redact(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """(key, text with each span, or group of overlapping spans, replaced by `[kind]`)."""
     names = F.array(*map(F.lit, KINDS))
     found = scan(docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")), model, key, "_text", ("_text",))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.get(names, x["kind"]), F.lit("]")).alias("out")))
-    return found.select(key, F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))).alias(text))
+    none = F.expr("CAST(array() AS array<string>)")
+    # Code points of the text as an array: a piece is cut out without counting from the text's beginning.
+    letters = F.split("_text", "")
+
+    def pieces(own: Column) -> Column:
+        between = lambda a, n: F.array_join(F.slice(own, a + 1, n), "")
+
+        def step(at: Column, x: Column) -> Column:
+            fresh = x["start"] >= at
+            piece = F.array(F.concat(between(at, F.greatest(x["start"] - at, F.lit(0))), F.lit("["), F.get(names, x["kind"]), F.lit("]")))
+            return F.struct(F.greatest(at, x["end"]).alias("state"), F.when(fresh, piece).otherwise(none).alias("emit"))
+
+        reach = F.array_max(F.transform("spans", lambda x: x["end"]))
+        return F.concat(F.array_join(_scan(F.col("spans"), F.lit(0), none, step), ""), between(reach, F.size(own)))
+
+    return found.select(key, F.when(F.size("spans") > 0, _let(letters, pieces)).otherwise(F.col("_text")).alias(text))
