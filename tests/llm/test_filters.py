@@ -22,14 +22,19 @@ def test_decontamination_against_brute_force(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.judge(spark.createDataFrame(docs, SCHEMA), none).collect()} == {0}
     assert decontaminate.judge(spark.createDataFrame([], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).count() == 0
-    clean = decontaminate.keep_clean(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in clean.collect()} == {3, 4, 6, 9} | ({7} if 20 * 14 < 64 else set())
+    more = [*docs, (None, "a short item of no key"), (None, "clean"), (20, "long " * 3000 + "short item"), (3, None)]
+    clean = decontaminate.keep_clean(spark.createDataFrame([(*d, 1, "x") for d in more], SCHEMA + ", n_hit int, _told string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == ["doc_id", "text", "n_hit", "_told"]
+    assert sorted(clean.collect(), key=str) == sorted([(*d, 1, "x") for d, c in zip(more, contamination(more, items), strict=True) if not c[2]], key=str)
+    assert decontaminate.keep_clean(spark.createDataFrame([], SCHEMA), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontaminate.keep_clean(spark.createDataFrame(docs, SCHEMA), none).count() == len(docs)
 
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma"), (2, "gamma alpha beta"), (3, "alpha x x x x x x beta gamma")], SCHEMA)
     items = decontaminate.item_words(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string"))
-    index = decontaminate.build_index(docs, items)
+    index = decontaminate.build_index(docs)
+    assert index.postings.count() == 16  # every word of the corpus
     near = decontaminate.proximity_matches(index, items, 3).join(index.rows, "row")
     assert {r["doc_id"] for r in near.collect()} == {1, 2}
 
@@ -123,11 +128,31 @@ def test_label_model_finds_rates():
     r = np.random.default_rng(3)
     y = r.random(4000) < 0.2
     fired = np.stack([r.random(4000) < np.where(y, a, b) for a, b in ((0.7, 0.02), (0.5, 0.01), (0.6, 0.05), (0.1, 0.1))], 1).astype(float)
-    q, a, b, say = toxicity.label_model(fired, np.array([0.4, 0.4, 0.4, 0.2]), np.array([0.05, 0.05, 0.05, 0.1]), 0.2)
+    q, m = toxicity.label_model(fired, np.where(fired[:, :3].any(1), 0.8, 0.05), 0.2)
     true_a, true_b = np.array([0.7, 0.5, 0.6, 0.1]), np.array([0.02, 0.01, 0.05, 0.1])
     z = np.log(0.25) + fired @ np.log(true_a / true_b) + (1 - fired) @ np.log((1 - true_a) / (1 - true_b))
     best = ((z > 0) == y).mean()  # by the rates that made the votes
-    assert ((q > 0.5) == y).mean() > best - 0.01 and abs(a[0] - 0.7) < 0.1 and b[0] < 0.06 and (say <= 1).all()
+    assert ((q > 0.5) == y).mean() > best - 0.01 and abs(m.a[0] - 0.7) < 0.1 and m.b[0] < 0.06 and (m.parent == -1).all()
+
+
+def test_label_model_finds_dependence():
+    """Five voters that echo one another count for little more than one."""
+    r = np.random.default_rng(8)
+    y = r.random(6000) < 0.3
+    fires = lambda a, b: r.random(6000) < np.where(y, a, b)
+    echo = fires(0.4, 0.2)
+    fired = np.stack([*(np.where(r.random(6000) < 0.97, echo, ~echo) for _ in range(5)), *(fires(a, 0.1) for a in (0.7, 0.6, 0.8, 0.5, 0.6, 0.7, 0.5, 0.6, 0.7))], 1).astype(np.float32)
+    q, m = toxicity.label_model(fired, np.where(fired[:, 5:].sum(1) >= 3, 0.9, 0.1), 0.3)
+    linked = {frozenset((i, int(p))) for i, p in enumerate(m.parent) if p >= 0}
+    assert sum(max(x) < 5 for x in linked) == 4
+    assert ((q > 0.5) == y).mean() > 0.95 and abs(m.a[7] - 0.8) < 0.05 and abs(m.b[6] - 0.1) < 0.03
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "z" * 100) for i in range(50)] * 3, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    column, toxic = toxicity._sample(docs, labels, 20, 1000, "doc_id", "text")
+    assert len(column) == len(toxic) == 10
 
 
 @pytest.mark.parametrize(

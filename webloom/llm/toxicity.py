@@ -2,8 +2,10 @@
 
 1. Voters. A small authored lexicon, style patterns, and words and word beginnings that the labelled rows mark as telling
    (of a bounded sample, near-copies counted once). A voter fires on a text or abstains.
-2. Label model. Expectation maximisation over the sample's votes estimates how often each voter fires on either class;
-   correlations that the classes don't explain lower a voter's say. It gives every sampled row a posterior label.
+2. Label model. A generative model of the votes: a hidden class, how often each voter fires on either, and for voters that
+   depend on each other within a class, how often one fires given the other (a tree of such pairs, by their conditional mutual
+   information). Expectation maximisation fits it to the sample's votes alone; human labels only choose the voters, the
+   classes' shares and which class is the toxic one. It gives every sampled row a posterior label.
 3. Classifier. Logistic regression from the firing voters to the posterior labels, one weight a voter.
 
 Only labelled rows whose crc32(doc_id as text) modulo 5 isn't 0 are learnt from; doc_id, lang and source are never inputs.
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 from .near_dedup import shingle_sets
 from .spans import chunks, lower_ascii, mix, span_hasher, word_spans
 
-#: Labelled rows that are learnt from at most; taken in the order of a hash of doc_id.
-MAX_LABELLED = 8000
+#: Labelled rows that are learnt from at most, and bytes of their texts; taken in the order of a hash of doc_id.
+MAX_LABELLED, MAX_BYTES = 8000, 64 << 20
 
-#: Log-odds of a human label: right in 99.75 of 100 cases.
-LABEL_SAY = 6.0
+#: How often a word voter that fires is right at least; mining keeps only words of whose texts more are toxic.
+ACCURACY = 0.9
 
 LEXICON = """idiot idiots idiotic moron morons moronic stupid dumb fool imbecile loser losers scum trash garbage pathetic worthless clown
 disgusting vermin filth filthy bastard retard jerk creep scumbag lowlife subhuman parasite braindead shithead asshole
@@ -141,42 +143,108 @@ def _telling(column, toxic: np.ndarray) -> np.ndarray:
     return found[other * share <= 0.02 * n1]
 
 
-def label_model(fired: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float, given: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of every row, the firing rates of the voters on either class, and each voter's say under correlations.
+@dataclass
+class Votes:
+    """A fitted label model. a, b: how often each voter fires on toxic and on clean rows; parent: the voter that it depends on within a class, or -1; given: log-ratios of a vote (not fired, fired) by the parent's vote (not fired, fired)."""
+
+    prior: float
+    a: np.ndarray
+    b: np.ndarray
+    parent: np.ndarray
+    given: np.ndarray
+
+    def posterior(self, fired: np.ndarray) -> np.ndarray:
+        own, up = np.flatnonzero(self.parent >= 0), self.parent[self.parent >= 0]
+        g = self.given
+        z = np.log(self.prior / (1 - self.prior)) + g[0, 0].sum() + fired @ (g[1, 0] - g[0, 0])
+        for at in range(0, len(fired), 1000):  # the share of the parents that fired
+            f = fired[at : at + 1000]
+            p = f[:, up]
+            z[at : at + 1000] += p @ (g[0, 1] - g[0, 0])[own] + (f[:, own] * p) @ (g[1, 1] - g[1, 0] - g[0, 1] + g[0, 0])[own]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _dependence(fired: np.ndarray, q: np.ndarray, strong: float = 30.0) -> np.ndarray:
+    """Of each voter, the one it depends on most within the classes, in a spanning forest of the greatest conditional mutual information; -1 for a root. Only pairs whose G statistic is strong are joined."""
+    n, k = fired.shape
+    total = np.zeros((k, k), np.float64)
+    for w in (q, 1 - q):
+        mass = max(float(w.sum()), 1e-9)
+        both = (fired * w[:, None].astype(fired.dtype)).T @ fired
+        one = np.diag(both).astype(np.float64)
+        for x in (0, 1):
+            for y in (0, 1):
+                px, py = (one if x else mass - one), (one if y else mass - one)
+                c = both if x and y else (one[:, None] - both if x else (one[None, :] - both if y else mass - one[:, None] - one[None, :] + both))
+                expected = px[:, None] * py[None, :] / mass
+                c = np.maximum(c, 0)
+                total += np.where((c > 0) & (expected > 0), c * np.log(np.maximum(c, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    total *= 2
+    np.fill_diagonal(total, 0)
+    parent, best, who = np.full(k, -1), np.zeros(k), np.full(k, -1)
+    outside = np.ones(k, bool)
+    at = 0
+    for _ in range(k):
+        outside[at] = False
+        closer = outside & (total[at] > best)
+        best[closer], who[closer] = total[at][closer], at
+        if not outside.any():
+            break
+        at = int(np.where(outside, best, -1).argmax())
+        parent[at] = who[at] if best[at] >= strong else -1
+    return parent
+
 
-    fired: rows x voters. a, b: first guesses of the rates on toxic and clean rows. given: log-odds that a human label adds
-    to a row, as one more voter whose accuracy is known; without it, one common way of being toxic takes the whole class.
+def label_model(fired: np.ndarray, start: np.ndarray, prior: float, least: np.ndarray | None = None, rounds: int = 24) -> tuple[np.ndarray, Votes]:
+    """Posterior of every row, and the model. fired: rows x voters. start: a first guess of the posteriors, which tells the classes apart.
+
+    least: how often a voter that fires is right at least, as is known of it beforehand (0: nothing). Without such bounds a
+    group of voters that echo one another can take a class for itself.
     """
-    n = len(fired)
-    say = np.ones(fired.shape[1])
-    q = np.full(n, prior)
+    q = np.clip(start.astype(np.float64), 1e-3, 1 - 1e-3)
+    parent = np.full(fired.shape[1], -1)
+    model = None
     for step in range(rounds):
-        llr1 = (np.log(a) - np.log(b)) * say
-        llr0 = (np.log1p(-a) - np.log1p(-b)) * say
-        z = np.log(prior / (1 - prior)) + fired @ (llr1 - llr0) + llr0.sum() + (0 if given is None else given)
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        a = np.clip((q @ fired + 0.5) / (q.sum() + 2), 1e-4, 0.999)
-        b = np.clip(((1 - q) @ fired + 0.05) / ((1 - q).sum() + 1), 1e-5, 0.999)
-        if step in (5, 15):  # what the classes leave unexplained
-            rest = fired - (q[:, None] * a + (1 - q)[:, None] * b)
-            cov = rest.T @ rest / n
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = cov / sd[:, None] / sd
-            np.fill_diagonal(corr, 0)
-            say = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
-    return q, a, b, say
+        if step in (2, 8, 16):
+            parent = _dependence(fired, q)
+        own = np.flatnonzero(parent >= 0)
+        rates, given = [], []
+        for w, floor in ((q, 0.5), (1 - q, 0.05)):
+            mass = w.sum()
+            n1 = w @ fired
+            rate = np.clip((n1 + floor) / (mass + 2), 1e-6, 0.999)
+            if least is not None and rates:  # a voter's rate on clean rows, under its accuracy
+                rate = np.minimum(rate, np.maximum(rates[0] * (prior / (1 - prior)) * (1 - least) / np.maximum(least, 1e-9), 1e-6))
+            rates.append(rate)
+            table = np.stack([rate, rate])  # by the parent's vote
+            if len(own):
+                up = parent[own]
+                both = np.zeros(len(own))
+                for at in range(0, len(fired), 1000):
+                    both += w[at : at + 1000] @ (fired[at : at + 1000][:, own] * fired[at : at + 1000][:, up])
+                m = 2.0  # rows' worth of the voter's own rate
+                table[1, own] = (both + m * rate[own]) / (n1[up] + m)
+                table[0, own] = (n1[own] - both + m * rate[own]) / (mass - n1[up] + m)
+            given.append(np.clip(table, 1e-6, 0.999))
+        fires, not_ = np.log(given[0] / given[1]), np.log1p(-given[0]) - np.log1p(-given[1])
+        model = Votes(prior, rates[0], rates[1], parent, np.stack([not_, fires]))
+        q = model.posterior(fired)
+    return q, model
 
 
 def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression to soft labels by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    k = x.shape[1]
+    w = np.zeros(k + 1)
+    penalty = np.full(k + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        g, h = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 1000):
+            part = np.column_stack([x[at : at + 1000], np.ones(len(x[at : at + 1000]))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            g += part.T @ (p - y[at : at + 1000])
+            h += (part * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ part
         step = np.linalg.solve(h, g)
         w -= step * min(1, 4 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -188,33 +256,51 @@ def is_held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, key: str = "doc_id", text: str = "text") -> Model:
-    """Learn from labels (key, toxic) of at most so many rows that aren't held out."""
-    from functools import reduce
+def _sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, key: str, text: str) -> tuple[object, np.ndarray]:
+    """(texts as an Arrow column, their labels) of at most so many labelled rows and bytes; of rows that share a key, one."""
+    from pyspark.sql import Window as W
+
+    from .common import discard, materialize
 
     chosen = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
-    rows = docs.select(key, F.col(text).cast("string").alias(text)).join(F.broadcast(chosen), key).orderBy(key, text).select(text, "toxic").toArrow()  # bounded by most
-    column, toxic = rows.column(0).combine_chunks(), rows.column(1).to_numpy() == 1
+    chosen = chosen.select(F.col(key).alias("_key"), "toxic", F.xxhash64(F.col(key).cast("string")).alias("_order")).orderBy("_order", "_key").limit(most)
+    found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = materialize(found.groupBy("_key").agg(F.min(F.struct("_text", "toxic", "_order")).alias("r")).select("_key", "r.*").withColumn("_n", F.octet_length("_text")), "sample")
+    told = W.orderBy("_order", "_key").rowsBetween(W.unboundedPreceding, 0)  # most rows at most
+    small = rows.select("_key", "_order", "_n").withColumn("_sum", F.sum("_n").over(told)).where(F.col("_sum") <= most_bytes).select("_key")
+    out = rows.join(F.broadcast(small), "_key").orderBy("_order", "_key").select("_text", "toxic").toArrow()
+    discard(rows)
+    return out.column(0).combine_chunks(), out.column(1).to_numpy() == 1
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_bytes: int = MAX_BYTES, key: str = "doc_id", text: str = "text") -> Model:
+    """Learn from labels (key, toxic) of at most so many rows, and bytes of their texts, that aren't held out."""
+    return learn(*_sample(docs, labels, most, most_bytes, key, text))
+
+
+def learn(column, toxic: np.ndarray, by_labels: bool = False) -> Model:
+    """The classifier, from texts and their labels. by_labels: fit it to the labels themselves instead of the label model's posteriors (to compare the two)."""
     authored = _hash_words(LEXICON)
     mined = _telling(column, toxic) if toxic.any() and not toxic.all() else np.zeros(0, np.uint64)
     voters = np.unique(np.concatenate([authored, mined]))
     n_voters = len(voters) + len(_STYLES)
     prior = float(np.clip(toxic.mean(), 0.01, 0.5)) if len(toxic) else 0.1
-    fired, at = np.zeros((len(toxic), n_voters), np.float64), 0
+    fired, at = np.zeros((len(toxic), n_voters), np.float32), 0
     for n, row, voter in votes(column, voters):
         fired[at + row, voter] = 1
         at += n
-    use = np.flatnonzero(fired.sum(0) > 0)
     weights = np.zeros(n_voters)
     weights[np.searchsorted(voters, authored)] = 4.0  # of authored words that the sample never shows
     bias = -3.0
+    use = np.flatnonzero(fired.sum(0) > 0)
     if len(use):
-        f = fired[:, use]
-        a = np.clip((f[toxic].sum(0) + 0.5) / (toxic.sum() + 2), 1e-3, 0.95)
-        b = np.clip((f[~toxic].sum(0) + 0.1) / ((~toxic).sum() + 2), 1e-4, 0.95)
-        q, *_ = label_model(f, a, b, prior, np.where(toxic, 1, -1) * LABEL_SAY)
-        w, bias = _regress(f, q)
+        fired = fired[:, use]
+        words = use < len(voters)
+        if by_labels:
+            q = toxic.astype(float)
+        else:
+            q, _ = label_model(fired, np.where(fired[:, words].any(1), 0.9, 0.01), prior, np.where(words, ACCURACY, 0.0))
+        w, bias = _regress(fired, q)
         weights[use] = w
         bias = min(bias, -1.5)
     return Model(voters, weights, bias)
