@@ -1,6 +1,7 @@
 """Main text of HTML pages: gradient-boosted trees over DOM-node features, decoded over the tree.
 
-A page becomes a tree of its elements. Each element that holds text gets features of its subtree's density, the tokens of its
+A page becomes a tree of its elements; text that lies in an element beside child elements gets a node of its own, and so do
+inline elements whose attributes tell something. Each node that holds text gets features of its subtree's density, the tokens of its
 attributes and its ancestors', its depth and its siblings, and boosted trees estimate whether its subtree holds main text.
 Decoding chooses the most likely labelling in which everything below a rejected element is rejected, so ancestors and
 descendants can't contradict each other. The trees are fitted to pages that this module makes, with many layouts.
@@ -8,7 +9,7 @@ descendants can't contradict each other. The trees are fitted to pages that this
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
 one newline; nothing else is dropped or cut. Null, empty and textless html give the empty string. Markup may be broken:
 stray end tags are ignored, open elements end with the page,
-a tag that the page's end cuts off is dropped. Repeated rows give repeated results.
+a tag that the page's end cuts off is dropped. The work on a page follows its length. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ _CLOSES_P = frozenset("address article aside blockquote center details dialog di
 _SIBLING_ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "tbody": ("tbody thead tfoot tr td th", {"table"}), "thead": ("tbody thead tfoot tr td th", {"table"}), "tfoot": ("tbody thead tfoot tr td th", {"table"}), "option": ("option", {"select"})}
 _SIBLING_ENDS = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _SIBLING_ENDS.items()}
 
-_TAGS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h", "li", "list", "table", "cell", "quote", "pre", "figure", "body", "other"]
-_TAG_CODE = {t: i for i, t in enumerate(_TAGS)} | {f"h{k}": _TAGS.index("h") for k in range(1, 7)} | dict.fromkeys(("ul", "ol", "dl", "menu"), _TAGS.index("list")) | dict.fromkeys(("dt", "dd"), _TAGS.index("li")) | dict.fromkeys(("td", "th"), _TAGS.index("cell")) | dict.fromkeys(("tbody", "thead", "tr"), _TAGS.index("table")) | {"blockquote": _TAGS.index("quote"), "figcaption": _TAGS.index("figure"), "html": _TAGS.index("body")}
+_TAGS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h", "li", "list", "table", "cell", "quote", "pre", "figure", "body", "text", "inline", "other"]
+_TAG_CODE = {t: i for i, t in enumerate(_TAGS)} | {f"h{k}": _TAGS.index("h") for k in range(1, 7)} | dict.fromkeys(("ul", "ol", "dl", "menu"), _TAGS.index("list")) | dict.fromkeys(("dt", "dd"), _TAGS.index("li")) | dict.fromkeys(("td", "th"), _TAGS.index("cell")) | dict.fromkeys(("tbody", "thead", "tr"), _TAGS.index("table")) | {"blockquote": _TAGS.index("quote"), "figcaption": _TAGS.index("figure"), "html": _TAGS.index("body"), "#text": _TAGS.index("text")} | dict.fromkeys(_INLINE, _TAGS.index("inline"))
 
 _CUES = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs topbar toolbar pagination pager tabs skip toc",
@@ -58,16 +59,22 @@ _TAG_BITS = {"nav": 1, "header": 2, "footer": 2, "aside": 4, "form": 1 << list(_
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
+#: For each tag that ends others of its kind: the tags that it ends, up to the nearest of the second.
+_WATCHED = {t: [k for k, (ends, limits) in _SIBLING_ENDS.items() if t in ends or t in limits] for t in {x for ends, limits in _SIBLING_ENDS.values() for x in ends | limits}}
+_CELLS = frozenset(("td", "th", "table"))
+
+
 @dataclass
 class Tree:
-    """Elements in page order: parents before children. blocks: (element, text) in page order."""
+    """Nodes in page order: parents before children. blocks: (node, text, pieces) in page order; pieces are None, or (node, text) of the parts of a block in which inline nodes lie. Blocks of inline nodes have no pieces and are not printed by themselves (shown)."""
 
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     bits: list[int] = field(default_factory=list)
     marks: list[str] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str, list[tuple[int, str]] | None]] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
+    shown: list[bool] = field(default_factory=list)
 
 
 def _cues(attrs: str) -> int:
@@ -78,54 +85,77 @@ def _cues(attrs: str) -> int:
     return bits
 
 
-def parse(source: str, keep_marks: bool = False) -> Tree:
-    """The tree of a page. Inline elements have no node of their own; their text belongs to the block around them."""
-    t = Tree()
-    tags, parents, bits = t.tag, t.parent, t.bits
-    tags.append("html"), parents.append(-1), bits.append(0)
-    stack = [(0, "html")]  # with inline elements as (-1, tag)
-    current, text, in_link, link_chars = 0, [], 0, 0
-    raw_end = ""
-    at = 0
+def _text(pieces) -> str:
+    return " ".join("".join(pieces).split())
+
+
+def parse(source: str) -> Tree:
+    """The tree of a page. Inline elements without telling attributes have no node; their text belongs to the block around them."""
+    tags, parents, bits, marks, begins = ["html"], [-1], [0], [""], [-1]
+    found: list[tuple[int, int, list[tuple[int, str, bool]]]] = []  # place, block element, (node, text, whether in a link)
+    # Open elements: node or -1, tag, and the block element, its place in the stack and the node before it.
+    stack: list[tuple[int, str, int, int, int]] = [(0, "html", 0, 0, 0)]
+    block, block_at, current, in_link = 0, 0, 0, 0
+    text: list[tuple[int, str, bool]] = []
+    opened: dict[str, int] = {}
+    scopes: list[dict[str, int]] = [{}]  # open inline tags, by table cell
+    watched: dict[str, list[int]] = {k: [] for k in _SIBLING_ENDS}  # places in the stack
+    endless: set[str] = set()
+    at, n_source = 0, len(source)
 
     def flush():
-        nonlocal text, link_chars
+        nonlocal text
         if text:
-            s = " ".join("".join(text).split())
-            if s:
-                t.blocks.append((current, s))
-                t.linked.append(min(link_chars, len(s)))
+            found.append((at, block, text))
             text = []
-        link_chars = 0
 
     def say(piece: str):
-        nonlocal link_chars
         if piece:
-            if "&" in piece:
-                piece = _html.unescape(piece)
-            text.append(piece)
-            if in_link:
-                link_chars += len(piece)
+            text.append((current, _html.unescape(piece) if "&" in piece else piece, in_link > 0))
+
+    def push(node: int, name: str):
+        nonlocal block, block_at, current
+        for k in _WATCHED.get(name, ()):
+            watched[k].append(len(stack))
+        stack.append((node, name, block, block_at, current))
+        opened[name] = opened.get(name, 0) + 1
+        if name in _INLINE:
+            scopes[-1][name] = scopes[-1].get(name, 0) + 1
+        else:
+            block, block_at = node, len(stack) - 1
+            if name in _CELLS:
+                scopes.append({})
+        if node >= 0:
+            current = node
 
     def pop_to(k: int):
         """Close the elements from the stack's place k on."""
-        nonlocal current, in_link
-        for n, name in stack[k:]:
-            if n >= 0:
+        nonlocal block, block_at, current, in_link
+        while len(stack) > k:
+            node, name, b, b_at, c = stack[-1]
+            if name not in _INLINE:
                 flush()
-            elif name == "a":
-                in_link = max(0, in_link - 1)
-        del stack[k:]
-        for n, _ in reversed(stack):
-            if n >= 0:
-                current = n
-                break
-
-    n_source = len(source)
+                if name in _CELLS:
+                    scopes.pop()
+            else:
+                scopes[-1][name] -= 1
+                if name == "a":
+                    in_link -= 1
+            stack.pop()
+            for key in _WATCHED.get(name, ()):
+                watched[key].pop()
+            opened[name] -= 1
+            block, block_at, current = b, b_at, c
+
+    def node_of(name: str, attrs: str, cues: int) -> int:
+        tags.append(name), parents.append(current), bits.append(cues | _TAG_BITS.get(name, 0)), marks.append(attrs), begins.append(at)
+        return len(tags) - 1
+
     while at < n_source:
         m = _TOKEN.search(source, at)
         if m is None:
             say(source[at:])
+            at = n_source
             break
         say(source[at : m.start()])
         at = m.end()
@@ -134,70 +164,98 @@ def parse(source: str, keep_marks: bool = False) -> Tree:
             continue
         name = name.lower()
         if close:
-            if name in ("html", "body"):
+            if name in ("html", "body") or not (scopes[-1] if name in _INLINE else opened).get(name):
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == name:
-                    pop_to(k)
-                    break
-                if stack[k][1] in ("td", "th", "table") and name in _INLINE:
-                    break
+            k = len(stack) - 1
+            while stack[k][1] != name:
+                k -= 1
+            pop_to(k)
             continue
-        if name in _RAW:
+        if name in _RAW or name == "head":
+            if name == "head":
+                e = None if name in endless else re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+                if e is None:
+                    endless.add(name)
+                else:
+                    at = e.end() if source[e.start() + 1] == "/" else e.start()
+                continue
             if attrs.endswith("/") and name in ("svg", "math"):
                 continue
-            e = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            if e is None:
-                if name in ("title", "select", "object", "audio", "video", "canvas", "svg", "math"):
-                    continue
-                at = n_source
-            else:
+            e = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(source, at)
+            if e is not None:
                 at = e.end()
+            elif name in ("title", "select", "object", "audio", "video", "canvas", "svg", "math"):
+                endless.add(name)
+            else:
+                at = n_source
             continue
         if name in _VOID:
-            if name in ("br", "wbr"):
-                text.append(" " if name == "br" else "")
+            if name == "br":
+                text.append((current, " ", False))
             elif name == "hr":
                 flush()
             continue
+        cues = _cues(attrs) if attrs else 0
         if name in _INLINE:
             if name == "a":
                 in_link += 1
-            stack.append((-1, name))
-            continue
-        if name == "head":
-            e = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-            if e is not None:
-                at = e.end() if source[e.start() + 1] == "/" else e.start()
+            push(node_of(name, attrs, cues) if cues & ~_GOOD else -1, name)
             continue
         if name in ("html", "body"):
-            bits[0] |= _cues(attrs) & ~_GOOD
+            bits[0] |= cues & ~_GOOD
             continue
-        if name in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] >= 0:
-                    break
+        if name in _CLOSES_P and stack[block_at][1] == "p":
+            pop_to(block_at)
         if name in _SIBLING_ENDS:
-            ends, limits = _SIBLING_ENDS[name]
-            cut = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in limits:
+            ends, places, cut = _SIBLING_ENDS[name][0], watched[name], 0
+            for k in reversed(places):
+                if stack[k][1] not in ends:
                     break
-                if stack[k][1] in ends:
-                    cut = k
+                cut = k
             if cut:
                 pop_to(cut)
         flush()
-        tags.append(name), parents.append(current)
-        bits.append(_cues(attrs) | _TAG_BITS.get(name, 0) if attrs else _TAG_BITS.get(name, 0))
-        if keep_marks:
-            t.marks.append(attrs)
-        current = len(tags) - 1
-        stack.append((current, name))
+        push(node_of(name, attrs, cues), name)
     flush()
+    return _tree(tags, parents, bits, marks, begins, found)
+
+
+def _tree(tags, parents, bits, marks, begins, found) -> Tree:
+    """Give text that lies beside child elements a node of its own, and bring all nodes into page order."""
+    inline = [t in _INLINE for t in tags]
+    mixed = [False] * len(tags)
+    for e in range(1, len(tags)):
+        if not inline[e]:
+            p = parents[e]
+            while not mixed[p]:
+                mixed[p] = True
+                p = parents[p] if inline[p] else p
+    rows = []  # block, pieces
+    for at, e, pieces in found:
+        own = e
+        if mixed[e] and any(x.strip() for _, x, _ in pieces):
+            tags.append("#text"), parents.append(e), bits.append(0), marks.append(marks[e]), begins.append(at), inline.append(False)
+            own = len(tags) - 1
+        rows.append((e, own, pieces))
+    # Before what the same place opens.
+    order = sorted(range(len(tags)), key=lambda i: (begins[i], tags[i] != "#text", i))
+    place = [0] * len(tags)
+    for i, e in enumerate(order):
+        place[e] = i
+    t = Tree([tags[e] for e in order], [place[parents[e]] if e else -1 for e in order], [bits[e] for e in order], [marks[e] for e in order])
+    for e, own, pieces in rows:
+        within = any(n != e for n, _, _ in pieces)
+        groups: dict[int, list[tuple[str, bool]]] = {}
+        for n, x, link in pieces:
+            groups.setdefault(own if n == e else n, []).append((x, link))
+        if within or own in groups:
+            groups.setdefault(own, [])
+        for n, parts in sorted(groups.items(), key=lambda g: g[0] != own):
+            s = _text(x for x, _ in parts)
+            if s or (within and n == own):
+                t.blocks.append((place[n], s, [(place[own if k == e else k], x) for k, x, _ in pieces] if within and n == own else None))
+                t.linked.append(min(sum(len(x) for x, link in parts if link), len(s)))
+                t.shown.append(n == own)
     return t
 
 
@@ -209,7 +267,9 @@ def node_features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
     n = len(t.tag)
     chars, links, count, sentences, inner, paragraphs, longest = ([0] * n for _ in range(7))
     first = [-1] * n
-    for k, ((e, s), a) in enumerate(zip(t.blocks, t.linked, strict=True)):
+    for k, ((e, s, _), a) in enumerate(zip(t.blocks, t.linked, strict=True)):
+        if not s:
+            continue
         chars[e] += len(s)
         links[e] += a
         count[e] += 1
@@ -293,8 +353,15 @@ def decode(t: Tree, rows: np.ndarray, z: np.ndarray) -> list[bool]:
 
 
 def text_of(t: Tree, kept: list[bool]) -> str:
-    """The kept blocks; of a page where none is kept, the text outside of all elements."""
-    return "\n".join(s for e, s in t.blocks if kept[e]) or "\n".join(s for e, s in t.blocks if e == 0)
+    """The kept blocks, without inline nodes that aren't kept; of a page without elements, its text."""
+    bare = len(t.tag) == 1
+    out = []
+    for (e, s, pieces), shown in zip(t.blocks, t.shown, strict=True):
+        if shown and pieces:
+            s = _text(x for n, x in pieces if kept[n])
+        if shown and s and (kept[e] or pieces or bare):
+            out.append(s)
+    return "\n".join(out)
 
 
 # Pages to learn from.
@@ -319,6 +386,19 @@ def _page(r: np.random.Generator) -> str:
     box = lambda names, inner, tag="div": f'<{tag} {pick("class", "class", "id")}="{pick(*names)}">{inner}</{tag}>'
     main = ' data-main="1"'
 
+    def within(p: str) -> str:
+        """A paragraph's text, at times with an inline element in it: a plain or marked part of it, or an advert."""
+        k = r.random()
+        if k < 0.06:
+            return p + f' <{pick("span", "em", "b", "a")} class="{pick("highlight", "date", "text-bold", "term", "link more-info", "footer-ref")}"{main}>{phrase(1, 5)}</{pick("span", "em", "b", "a")}> {phrase(1, 6)}.'
+        if k < 0.12:
+            return p + f' <span {pick("class", "id")}="{pick("ad", "ad sponsored", "sponsored-link", "promo", "advert-inline", "inline-ad", "ads")}" data-junk="1">{phrase(1, 6)}</span> ' + (phrase(2, 9) + "." if chance(0.6) else "")
+        return p
+
+    def stray() -> str:
+        """Text that lies bare among a container's elements and isn't the article's."""
+        return pick(phrase(1, 4), f"{phrase(1, 3)} | {phrase(1, 3)}", f"&copy; 20{int(r.integers(10, 26))} {phrase(1, 4)}", prose(1, 2), anchor(), f"{phrase(1, 3)}: {anchor()}")
+
     def menu() -> str:
         inner = pick(links, row)(int(r.integers(2, 9)))
         return pick(lambda: f"<nav>{inner}</nav>", lambda: box(["menu", "main-nav", "navbar", "nav-links", "topbar", "breadcrumb", "site-navigation"], inner), lambda: box(["nav", "menu"], inner, "nav"), lambda: inner)()
@@ -337,7 +417,7 @@ def _page(r: np.random.Generator) -> str:
 
     def advert() -> str:
         inner = pick(prose(1, 4), f"<p>{prose(1, 2)}</p>", f"{anchor(2, 7)} {phrase(2, 6)}", f"<a href='/x'>{prose(1, 2)}</a>")
-        return box(["ad", "ads", "advert", "ad-slot", "advertisement", "sponsored", "promo", "ad-container", "banner-ad", "sponsor-box", "adbox ad"], inner, pick("div", "div", "div", "section", "aside", "p"))
+        return box(["ad", "ads", "advert", "ad-slot", "advertisement", "sponsored", "promo", "ad-container", "banner-ad", "sponsor-box", "adbox ad"], inner, pick("div", "div", "div", "section", "aside", "div" if "<p" in inner else "p"))
 
     def notice() -> str:
         inner = pick(prose(1, 4), f"<p>{prose(1, 3)}</p><button>{phrase(1, 2)}</button>", f"{prose(1, 2)} {anchor()}", f"<h4>{phrase(1, 4)}</h4><p>{prose(1, 2)}</p>")
@@ -366,7 +446,7 @@ def _page(r: np.random.Generator) -> str:
                     p = f"<b>{phrase(2, 8)}.<br>" + p
                 if chance(0.2):
                     p += f" {anchor()} {phrase(2, 9)}."
-                out.append(f"<p{main}>{p}" + "</p>" * chance(0.85))
+                out.append(f"<p{main}>{within(p)}" + "</p>" * chance(0.85))
             elif k < 0.68:
                 out.append(f"<p{main}>{phrase(1, 4)}.</p>")
             elif k < 0.73:
@@ -391,7 +471,11 @@ def _page(r: np.random.Generator) -> str:
 
     article = body()
     k = r.random()
-    if k < 0.45:
+    if chance(0.06):  # paragraphs of bare text, parted by line breaks or boxes
+        own = prose(2, 6) + pick("<br><br>", "<br>", "<hr>").join(prose(1, 5) for _ in range(int(r.integers(1, 5))))
+        tag = pick("article", "main", "div", "div", "section")
+        article = f'<{tag}{pick("", " class=post-content", " class=entry")}{main}>{own}{pick("", advert(), share(), f"<h2{main}>{phrase(1, 6)}</h2>")}{prose(1, 3) if chance(0.5) else ""}</{tag}>'
+    elif k < 0.45:
         article = f"<article>{article}</article>"
     elif k < 0.55:
         article = f"<main>{article}</main>"
@@ -407,9 +491,10 @@ def _page(r: np.random.Generator) -> str:
     top = some(0.45, head, menu, notice, advert, form) if chance(0.8) else ""
     low = some(0.4, side, talk, share, notice, form, advert) + (foot() if chance(0.75) else "")
     middle = (side() if chance(0.15) else "") + (advert() if chance(0.2) else "") + article
-    if chance(0.3):
-        middle = f'<div class="{pick("wrapper", "container", "page", "row", "site")}">{middle}{side() if chance(0.4) else ""}</div>'
-    page = f"<!DOCTYPE html><html><head><title>{phrase(1, 6)}</title><style>p{{}}</style></head><body>{top}{middle}{low}"
+    bare = lambda p: stray() if chance(p) else ""
+    if chance(0.4):
+        middle = f'<div class="{pick("wrapper", "container", "page", "row", "site", "content-wrapper", "layout")}">{bare(0.2)}{middle}{side() if chance(0.4) else ""}{bare(0.15)}</div>'
+    page = f"<!DOCTYPE html><html><head><title>{phrase(1, 6)}</title><style>p{{}}</style></head><body>{bare(0.12)}{top}{bare(0.05)}{middle}{bare(0.1)}{low}{bare(0.08)}"
     return page + "</body></html>" * chance(0.9)
 
 
@@ -429,11 +514,10 @@ class Model:
 
 
 def labelled_nodes(page: str) -> tuple[np.ndarray, np.ndarray, Tree, np.ndarray]:
-    """(features, whether main text lies in the element's subtree, tree, elements) of a made page."""
-    t = parse(page, keep_marks=True)
+    """(features, whether main text lies in the node's subtree, tree, nodes that hold text) of a made page."""
+    t = parse(page)
     rows, x = node_features(t)
-    main = np.zeros(len(t.tag), bool)
-    main[1:] = ["data-main" in a for a in t.marks]
+    main = np.array(["data-main" in a and "data-junk" not in a for a in t.marks], bool)
     for e in range(len(t.tag) - 1, 0, -1):
         main[t.parent[e]] |= main[e]
     return x, main[rows], t, rows
@@ -442,7 +526,7 @@ def labelled_nodes(page: str) -> tuple[np.ndarray, np.ndarray, Tree, np.ndarray]
 _fitted: list[Model] = []
 
 
-def fit(pages: int = 800, seed: int = 3) -> Model:
+def fit(pages: int = 700, seed: int = 3) -> Model:
     """Fit to made pages; the same model each time."""
     if not _fitted:
         r = np.random.default_rng(seed)
