@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, pii, token_store, toxicity, url_filter, warc
-from .common import materialize, scratch, table
+from .common import table
 
 VOCABULARIES = "/opt/tokenizers"
 
@@ -31,13 +30,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against an index that begins empty: its group, and which row stays."""
-    docs = table(spark, sf_dir, "documents")
-    rows = materialize(docs.select("doc_id", exact_dedup.digest().alias("digest")), "digests")
-    index = exact_dedup.DigestIndex(spark, scratch(spark, "digest-index"), buckets=16)
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index.append(index.unseen(groups))
-    out = rows.join(index.table(), "digest")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return exact_dedup.grouped(table(spark, sf_dir, "documents"))
 
 
 OP4_SQL = r"""
