@@ -40,6 +40,60 @@ def test_mixed_buckets_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in near(rows, 4).items()}
 
 
+def test_mixed_buckets_of_many_sizes(spark, monkeypatch):
+    """Texts that share much but link only where they are of like size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join([w if r.random() > 0.02 else f"x{r.randrange(9999)}" for w in base[: r.choice([60, 70, 80, 100, 130, 160, 200, 250, 330, 400])]])) for i in range(70)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {i: c for i, (_, c) in near(rows, 4).items()}
+
+
+def test_near_whole_table(spark, sf):
+    rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in queries.op2_minhash_dedup(spark, sf).collect()}
+    assert got == {i: (n, c, c == i) for i, (n, c) in near(rows, 4).items()}
+
+
+def test_near_words_that_weak_hashes_confuse(spark):
+    w = [bin(k).count("1") & 1 for k in range(1024)]
+    x, y = "".join("ab"[k] for k in w), "".join("ba"[k] for k in w)
+    rows = [(1, " ".join([x] * 4)), (2, " ".join([y] * 4))]
+    assert {r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()} == {1, 2}
+
+
+def test_rows_without_a_key(spark):
+    schema = "doc_id long, text string, keep_id string, digest int"
+    rows = [(None, "a b c d e", "x", 1), (3, "a  b c d e", "x", 1), (None, "other", "x", 1), (None, "other", "x", 1), (None, None, "x", 1), (5, "alone", "x", 1)]
+    got = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.grouped(spark.createDataFrame(rows, schema)).collect())
+    assert got == sorted([(0, 3, 2, False), (3, 3, 2, True), (0, 0, 2, True), (0, 0, 2, True), (0, 0, 1, True), (5, 5, 1, True)])
+    near_ = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, schema), 4).collect())
+    assert near_ == sorted([(0, 3, False), (3, 3, True), (0, 0, True), (0, 0, True), (0, 0, True), (5, 5, True)])
+    assert exact_dedup.grouped(spark.createDataFrame([], schema)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_large_groups_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 5)
+    rows = [(i, "hot" if i % 3 else f"t{i // 6}") for i in range(60)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (min(j for j, u in rows if u == t), sum(u == t for _, u in rows)) for i, t in rows}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from webloom.llm.common import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(master))
+
+
 def test_near_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0

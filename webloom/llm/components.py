@@ -19,13 +19,11 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r[0], int(r[1] or 0)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component: the least node that it reaches) of every node of the edges (u, v). No edges: no rows."""
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, F.col("v") > F.col("u")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -38,8 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components didn't settle")
     parents = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct()
     return parents.select(F.col("u").alias("node"), "component").unionByName(roots.join(parents.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -9,12 +9,14 @@ The work on a group follows its size, and pairs are confirmed best first, so tha
 2. in each band's bucket, every class is compared with the bucket's least class and with its greatest, not with all others;
    pairs whose signatures are far below the threshold are left out; of the rest, each class's best pair is confirmed on full
    sets, then the next ones, as long as they would join different components;
-3. only buckets whose classes then lie in different components are looked at again, in blocks of bounded size, where
-   signatures are compared in memory and only similar pairs over two components come out; these are confirmed as before.
+3. only buckets whose classes then lie in different components are looked at again: their classes are parted by the sizes of
+   their sets (similar sets lie in the same or neighbouring parts) and by hash into blocks of bounded size, where signatures
+   are compared in memory and only similar pairs over two components come out; these are confirmed as before.
 No bucket, partner or candidate is dropped, whatever its size.
 
 In near_duplicates(), whose result is by doc_id, rows that share a doc_id count as one document; dedup() judges each row by
-its own text. Null text has an empty set. Result columns replace columns of those names.
+its own text. Null text has an empty set. A row without a key whose set a row with a key has is a copy of that row's; other rows
+without a key have no component and stay. Result columns replace columns of those names.
 """
 
 from __future__ import annotations
@@ -163,22 +165,20 @@ def _similar_signatures(pairs: DataFrame, sketch: DataFrame, threshold: float) -
 
 
 def _across(mixed: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """mixed: (bucket, rep, component, n: classes of the bucket). The similar pairs (a, b, met) over two components of a bucket. Large buckets are cut into blocks, and every two blocks meet in a group of bounded size."""
+    """mixed: (bucket, rep, component). The similar pairs (a, b, met) over two components of a bucket. Large buckets are cut into blocks, and every two blocks meet in a group of bounded size."""
     import pyarrow as pa
 
     k, least = BANDS * ROWS, _least_agreement(threshold)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32())])
 
     def run(t):
-        rep, comp, block, size = (t.column(c).to_numpy() for c in ("rep", "component", "block", "n_shingles"))
+        rep, comp, first, second, size = (t.column(c).to_numpy() for c in ("rep", "component", "first", "second", "n_shingles"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, k)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         out: list[list[np.ndarray]] = [[], [], []]
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j)
+        left, right = np.flatnonzero(first), np.flatnonzero(second)
         for x in left.tolist():
             y = right[(comp[right] != comp[x]) & (np.minimum(size[right], size[x]) >= threshold * np.maximum(size[right], size[x]) - 1e-9)]
-            if i == j:
+            if second[x]:  # a block with itself
                 y = y[y > x]
             met = (sig[y] == sig[x]).sum(1)
             y, met = y[met >= least], met[met >= least]
@@ -188,10 +188,18 @@ def _across(mixed: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
         none = np.zeros(0, np.int64)
         return pa.Table.from_arrays([pa.array(np.concatenate([none, *out[0]]), pa.int64()), pa.array(np.concatenate([none, *out[1]]), pa.int64()), pa.array(np.concatenate([none, *out[2]]).astype(np.int32))], schema=schema)
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = mixed.join(sketch.select("rep", "n_shingles", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = cut.select("*", other.alias("o")).select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "component", "n_shingles", "sig")
+    # Two sets at the threshold differ in size by a factor of 1 / threshold at most: their parts are the same or neighbours.
+    part = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-np.log(threshold) + 1e-9).cast("double")).cast("int")
+    sized = mixed.join(sketch.select("rep", "n_shingles", "sig"), "rep").withColumn("part", part)
+    counts = sized.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    near = counts.select("bucket", (F.col("part") - 1).alias("part"), F.col("n").alias("n_above")), counts.select("bucket", (F.col("part") + 1).alias("part"), F.col("n").alias("n_below"))
+    around = materialize(counts.join(near[0], ["bucket", "part"], "left").join(near[1], ["bucket", "part"], "left").where((F.col("c0") < F.col("c1")) | F.col("n_above").isNotNull() | F.col("n_below").isNotNull()).select("bucket", "part", "n", F.coalesce("n_above", F.lit(0)).alias("n_above"), F.coalesce("n_below", F.lit(0)).alias("n_below")), "parts")
+    cut = sized.join(around, ["bucket", "part"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks("n")).cast("int"))
+    name = lambda p, b: F.struct(p.alias("p"), b.alias("b"))
+    all_ = lambda p, n: F.transform(F.when(blocks(n) > 0, F.sequence(F.lit(0), blocks(n) - 1)).otherwise(F.expr("CAST(array() AS array<int>)")), lambda o: name(F.col("part") + p, o))
+    spread = cut.withColumn("own", name(F.col("part"), F.col("block"))).withColumn("o", F.explode(F.concat(all_(0, "n"), all_(1, "n_above"), all_(-1, "n_below"))))
+    spread = spread.select("bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") == F.greatest("own", "o")).cast("int").alias("second"), (F.col("own") == F.least("own", "o")).cast("int").alias("first"), "rep", "component", "n_shingles", "sig")
     return spread.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint, met int")
 
 
@@ -263,6 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     # Rows that share a key tie their classes together.
     same = member.where("rep is not null").groupBy(key).agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("v < u").select("u", "v")
     links = materialize(same, "links")
+    discard(sketch)
     # Buckets of one class link nothing: only those of several are kept.
     exploded = reps.select("rep", F.explode("bands").alias("bucket"))
     several = exploded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
@@ -271,15 +280,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     candidates = materialize(_similar_signatures(_stars(buckets), reps, percent / 100).distinct(), "candidates")
     links, label = _linked(candidates, links, docs, words, percent, key, text)
     labelled = buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("bucket", "n")
-    mixed = materialize(labelled.join(open_, "bucket").select("bucket", "rep", "component", "n"), "mixed")
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
+    mixed = materialize(labelled.join(open_, "bucket").select("bucket", "rep", "component"), "mixed")
+    discard(buckets)
     across = _across(mixed, reps, percent / 100).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
     across = materialize(across, "across")
+    for done in (mixed, reps, candidates):
+        discard(done)
     if across.limit(1).count():
         links, label = _linked(across, links, docs, words, percent, key, text)
     out = member.join(label, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", key)
-    return out.select(key, "n_shingles", component.alias("component_id"), (component == F.col(key)).alias("kept"))
+    return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), component.isNull()).alias("kept"))
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
