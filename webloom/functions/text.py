@@ -34,6 +34,11 @@ ENTITIES = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body asks for it: higher-order functions evaluate what stands in them anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column, longer_than: int = 2) -> Column:
     """Lower-cased words between white space, those of few characters left out."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > longer_than)
@@ -79,25 +84,27 @@ def chunk_sentences(text: Column) -> Column:
 
 
 def chunk_fixed(text: Column, size: int = 100) -> Column:
-    w = words(text)
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(words(text), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))).otherwise(none))
 
 
 def chunk_sliding(text: Column, size: int = 100, step: int = 50) -> Column:
     """Windows of size words each step words, and one at the end of the text; a text of size words or fewer is one chunk as it stands."""
-    w = words(text)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(step))
-    starts = F.array_distinct(F.concat(starts, F.array(F.greatest(n - size, F.lit(0)))))
-    return F.when(n <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.size(w) - size, F.lit(0))
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
+        return F.when(F.size(w) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
+
+    return let(words(text), windows)
 
 
 def chunk_overlapping(text: Column, size: int = 1000, overlap: int = 100) -> Column:
     """Windows that share overlap words; the last ends with the text."""
-    w = words(text)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(n <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(F.size(w) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
+
+    return let(words(text), windows)
 
 
 def chunk_markdown(text: Column) -> Column:
@@ -107,8 +114,11 @@ def chunk_markdown(text: Column) -> Column:
 
 def merge_chunks(ws: Column, target: int) -> Column:
     """Words dealt to ceil(n / target) chunks of target words; the last takes what is left."""
-    n = F.greatest(F.ceil(F.size(ws) / target).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(ws, i * target + 1, target), " "))
+    def dealt(w: Column) -> Column:
+        n = F.greatest(F.ceil(F.size(w) / target).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * target + 1, target), " "))
+
+    return let(ws, dealt)
 
 
 def trigrams(s: Column) -> Column:
@@ -125,6 +135,43 @@ def text_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s\W]", "")
 
 
+def escape_quotes(text: Column) -> Column:
+    """With a backslash before each quotation mark and apostrophe."""
+    return F.replace(F.replace(text, F.lit('"'), F.lit('\\"')), F.lit("'"), F.lit("\\'"))
+
+
+def escape_json(text: Column) -> Column:
+    """As the inside of a JSON string: backslashes, quotation marks and control characters escaped."""
+    for raw, name in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(name))
+    rest = F.filter(F.array_distinct(F.split(text, "")), lambda c: c.rlike("^[\\x00-\\x1f]$"))
+    return F.aggregate(rest, text, lambda a, c: F.replace(a, c, F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))))
+
+
+def context_terms(*texts: Column) -> Column:
+    """Sorted distinct words of some texts, lower-cased, of more than two characters once punctuation around them is gone."""
+    whole = F.lower(F.concat_ws(" ", *texts))
+    bare = F.transform(F.split(whole, r"\s+"), lambda w: F.regexp_replace(w, r"""^[.,!?;:"()\[\]{}]+|[.,!?;:"()\[\]{}]+$""", ""))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda w: F.length(w) > 2)))
+
+
+def padded_table(rows: Column) -> Column:
+    """The lines of an array of rows of cells as a table of even columns: cells padded to the column's width, a rule after the first row."""
+
+    def lines(r: Column) -> Column:
+        widths = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(r, lambda x: F.size(x))) - 1), lambda i: F.array_max(F.transform(r, lambda x: F.length(F.coalesce(F.get(x, i), F.lit(""))))))
+
+        def with_widths(w: Column) -> Column:
+            line = lambda x: F.concat(F.lit("| "), F.array_join(F.transform(w, lambda n, i: F.rpad(F.coalesce(F.get(x, i), F.lit("")), n, " ")), " | "), F.lit(" |"))
+            rule = F.concat(F.lit("|-"), F.array_join(F.transform(w, lambda n: F.repeat(F.lit("-"), n)), "-|-"), F.lit("-|"))
+            own = F.transform(r, line)
+            return F.concat(F.slice(own, 1, 1), F.array(rule), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))))
+
+        return let(widths, with_widths)
+
+    return let(rows, lines)
+
+
 def xml_tag(text: Column, tag: str) -> Column:
     """The longest content of a tag, trimmed; null without one."""
     found = F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)" + f"</{tag}>"), F.lit(1))

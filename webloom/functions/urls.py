@@ -113,6 +113,41 @@ def normalise_deep(u: Column) -> Column:
     return F.concat(F.lower(scheme(u)), F.lit("://"), netloc(u), F.regexp_replace(path(u), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
 
 
+def normalise_light(href: Column, base: Column) -> Column:
+    """Resolved, with the host in lower case, without fragment and slashes at the path's end; the query stays as it is."""
+    u = resolve(base, href)
+    q = F.regexp_extract(u, r"^[^?#]*(\?[^#]+)", 1)
+    return F.concat(F.lower(scheme(u)), F.lit("://"), netloc(u), F.regexp_replace(path(u), "/+$", ""), q)
+
+
+def normalise_by_parts(href: Column, base: Column) -> Column:
+    """Put together from the base's protocol and host only: special schemes and absolute urls as they are, fragments at the base's end, all else from the root."""
+    parts = F.split(base, "/")
+    origin = F.concat(F.get(parts, 0), F.lit("//"), F.get(parts, 2))
+    special = any_of(F.lower(href).startswith(s) for s in SPECIAL_SCHEMES)
+    return (
+        F.when(special, F.trim(href))
+        .when(href.startswith("#"), F.concat(base, href))
+        .when(href.startswith("//"), F.concat(F.get(parts, 0), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(~href.rlike("^https?://"), F.concat(origin, F.lit("/"), F.regexp_replace(href, "^[./]+", "")))
+        .otherwise(F.trim(href))
+    )
+
+
+def is_docs_site(u: Column) -> Column:
+    return any_of(F.contains(netloc(u), F.lit(x)) for x in ("docs.", "api.", "developer.", "reference."))
+
+
+SOCIAL = tuple(f"{x}.com" for x in "facebook instagram linkedin pinterest reddit snapchat tiktok twitter x".split())
+
+
+def excluded_domains(*lists: Iterable[str], social: bool = False) -> Column:
+    """The union of lists of domains, and of the social networks if asked for, as one sorted array."""
+    every = sorted({d for ds in lists for d in ds} | (set(SOCIAL) if social else set()))
+    return F.array(*map(F.lit, every)) if every else F.array().cast("array<string>")
+
+
 def base_domain(u: Column) -> Column:
     """The last two labels of the host, or three where the second last is a registry's."""
     h = F.regexp_replace(host(u), r"^www\.", "")

@@ -8,12 +8,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dom import VOID, Node, parse, select, xpath
+from ..functions.urls import SECOND_LEVEL
+from ..plans.config import setting
 
 FEATURES = {
     "cleaned_html": "string",
@@ -25,14 +28,68 @@ FEATURES = {
     "markdown": "string",
     "fit_markdown": "string",
     "page_query": "string",
+    "anchors": "array<struct<pos:int,href:string,text:string,title:string,base:string>>",
 }
 _KEEP_ATTRS = tuple("alt height href src title width".split())
 _KEEP_EMPTY = frozenset("a img br hr input video audio source iframe td th pre code".split()) | VOID
 _INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img kbd label mark q s samp small span strong sub sup time tt u var".split())
 
 
-def clean(root: Node, excluded: Iterable[str] = (), selector: str = "", keep_data: bool = False, forms: bool = True) -> Node:
-    """Without scripts, styles and excluded parts, empty elements and attributes beyond a few."""
+#: Inline elements that give way to their text where only text is wanted.
+_TEXT_ONLY = frozenset("abbr b cite code del dfn em i ins kbd mark q s small span strong sub sup time u var".split())
+
+
+@setting
+@dataclass(frozen=True)
+class Selection:
+    """What of a page is kept: target: selectors whose matches, one after the other, become the content; excluded: tags that go; selector: matches that go; only_text: inline elements become their text; least_words: leaf elements with fewer words go; domains: base domains whose links and images go; forms: whether forms stay."""
+
+    target: tuple[str, ...] = ()
+    excluded: tuple[str, ...] = ()
+    selector: str = ""
+    only_text: bool = False
+    least_words: int = 1
+    domains: tuple[str, ...] = ()
+    forms: bool = True
+    keep_data: bool = False
+
+
+def anchors(root: Node) -> list[dict]:
+    """Links in page order with all the text within them, their titles, and the base address that the head names."""
+    base = next((b.attrs["href"].strip() for b in root.all("base") if b.attrs.get("href", "").strip()), None)
+    found = [n for n in root.all("a") if n.attrs.get("href", "").strip()]
+    return [{"pos": i, "href": n.attrs["href"].strip(), "text": "".join(n.pieces()).strip(), "title": n.attrs.get("title", "").strip(), "base": base} for i, n in enumerate(found)]
+
+
+def _domain(url: str) -> str:
+    m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//([^/?#:]*)", url)
+    labels = m[1].lower().removeprefix("www.").split(".") if m else []
+    return ".".join(labels[-3:] if len(labels) > 2 and labels[-2] in SECOND_LEVEL else labels[-2:])
+
+
+def choose(root: Node, s: Selection) -> Node:
+    """A page's tree after a selection, without attributes beyond a few."""
+    if s.target:
+        picked = [n for one in s.target for n in select(root.find("body") or root, one)]
+        root = Node("#root")
+        box = Node("div", parent=root)
+        root.children.append(box)
+        for n in picked:
+            box.children.append(copy := parse(n.html()).children[0])
+            copy.parent = box
+    if s.domains:
+        for n in root.all("a", "img"):
+            if _domain(n.attrs.get("href" if n.tag == "a" else "src", "")) in s.domains:
+                n.remove()
+    if s.only_text:
+        for n in root.walk():
+            if n.tag in _TEXT_ONLY and not any(a.tag in _TEXT_ONLY for a in _above(n)):
+                n.tag, n.attrs, n.children = "span", {}, ["".join(n.pieces())]
+    return clean(root, s.excluded, s.selector, s.keep_data, s.forms, s.least_words)
+
+
+def clean(root: Node, excluded: Iterable[str] = (), selector: str = "", keep_data: bool = False, forms: bool = True, least_words: int = 1) -> Node:
+    """Without scripts, styles and excluded parts, leaf elements of too few words (not in code) and attributes beyond a few."""
     gone = {*"link meta noscript script style".split(), *excluded} | (set() if forms else {"form"})
     for n in list(root.walk()):
         if n.tag in gone:
@@ -41,7 +98,7 @@ def clean(root: Node, excluded: Iterable[str] = (), selector: str = "", keep_dat
         for n in select(root, selector):
             n.remove()
     for n in reversed(list(root.walk())):
-        if n.tag not in _KEEP_EMPTY and not any(isinstance(c, Node) for c in n.children) and not n.text() and n.tag not in ("html", "body"):
+        if n.tag not in _KEEP_EMPTY and not any(isinstance(c, Node) for c in n.children) and len(n.text(" ").split()) < least_words and n.tag not in ("html", "body", "#root") and not any(a.tag in ("pre", "code") for a in _above(n)):
             n.remove()
     for n in root.walk():
         n.attrs = {k: v for k, v in n.attrs.items() if k in _KEEP_ATTRS or keep_data and k.startswith("data-")}
@@ -322,13 +379,18 @@ def page_query(root: Node) -> str:
     return said or next((t[:150] for p in root.all("p") if len(t := p.text(" ")) > 150), "")
 
 
-def features_of(html: str | None, wanted: Iterable[str]) -> dict:
+def features_of(html: str | None, wanted: Iterable[str], selection: Selection = Selection()) -> dict:
+    """wanted features of a page; a selection bears on cleaned_html and, with a target, on markdown and blocks."""
     wanted = set(wanted)
     root = parse(html)
     out: dict = {}
-    for name, f in (("metadata", metadata), ("page_query", page_query), ("media", media), ("tables", tables), ("blocks", blocks), ("markdown", markdown)):
+    for name, f in (("metadata", metadata), ("page_query", page_query), ("media", media), ("tables", tables), ("anchors", anchors)):
         if name in wanted:
             out[name] = f(root)
+    content = choose(parse(html), selection) if selection.target else root
+    for name, f in (("blocks", blocks), ("markdown", markdown)):
+        if name in wanted:
+            out[name] = f(content)
     if "pruned_html" in wanted or "fit_markdown" in wanted:
         p = prune(parse(html))
         if "pruned_html" in wanted:
@@ -336,11 +398,17 @@ def features_of(html: str | None, wanted: Iterable[str]) -> dict:
         if "fit_markdown" in wanted:
             out["fit_markdown"] = markdown(p)
     if "cleaned_html" in wanted:
-        out["cleaned_html"] = clean(root).html()
+        out["cleaned_html"] = choose(root, selection).html()
     return out
 
 
-def scrape(pages: DataFrame, wanted: Iterable[str], key: str = "page_id", html: str = "html") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores (small files of one row group) dealt to all of them; any other as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scrape(pages: DataFrame, wanted: Iterable[str], key: str = "page_id", html: str = "html", selection: Selection = Selection()) -> DataFrame:
     """(key, a column for each wanted feature) of every page."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -352,11 +420,11 @@ def scrape(pages: DataFrame, wanted: Iterable[str], key: str = "page_id", html:
 
     def run(batches):
         for b in batches:
-            rows = [features_of(h, wanted) for h in b.column(1).to_pylist()]
+            rows = [features_of(h, wanted, selection) for h in b.column(1).to_pylist()]
             cols = [b.column(0), *(pa.array([list(r[w].items()) if w == "metadata" else r[w] for r in rows], schema.field(w).type) for w in wanted)]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return pages.select(key, html).mapInArrow(run, ddl)
+    return spread(pages.select(key, html)).mapInArrow(run, ddl)
 
 
 # Extraction by a schema: {baseSelector, fields: [{name, type, selector, attribute, pattern, transform, default, fields}]}.
@@ -400,12 +468,24 @@ def _value(n: Node, f: dict, find):
     return {"lowercase": str.lower, "uppercase": str.upper, "strip": str.strip}.get(f.get("transform", ""), str)(out)
 
 
+def lenient(find):
+    """A finder that, where a selector finds nothing within an element, tries it less strictly: its last compound, then that without its tag's place, then the last class or tag alone."""
+
+    def found(n: Node, selector: str) -> list[Node]:
+        tries = [selector, (last := re.split(r"[\s>+~]+", selector.strip())[-1]), re.sub(r":[\w-]+(?:\([^)]*\))?", "", last)]
+        tries += [m[0] for m in [re.findall(r"\.[\w-]+", last)[-1:], re.findall(r"^[a-zA-Z][\w-]*", last)] if m]
+        return next((hit for s in dict.fromkeys(tries) if s and (hit := find(n, s))), [])
+
+    return found
+
+
 def extract(pages: DataFrame, schema: dict, by: str = "css", key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, a column for each field) of every item; by is css or xpath. Computed fields are SQL expressions over the others."""
+    """(key, pos, a column for each field) of every item; by is css, xpath, or lenient: css whose field selectors fall back to less strict ones. Computed fields are SQL expressions over the others."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    find = select if by == "css" else xpath
+    find = xpath if by == "xpath" else select
+    within = lenient(select) if by == "lenient" else find
     kind = pages.schema[key].dataType
     item = schema_type(schema)
     out = T.StructType([T.StructField(key, kind), T.StructField("pos", T.IntegerType()), *item.fields])
@@ -418,10 +498,10 @@ def extract(pages: DataFrame, schema: dict, by: str = "css", key: str = "page_id
             rows = []
             for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, n in enumerate(find(parse(h), schema["baseSelector"])):
-                    rows.append({key: k, "pos": i} | {f["name"]: _value(n, f, find) for f in base + plain})
+                    rows.append({key: k, "pos": i} | {f["name"]: _value(n, f, within) for f in base + plain})
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    found = pages.select(key, html).mapInArrow(run, out)
+    found = spread(pages.select(key, html)).mapInArrow(run, out)
     for f in schema["fields"]:
         if f["type"] == "computed":
             found = found.withColumn(f["name"], F.expr(f["expression"]))

@@ -14,9 +14,10 @@ def exploded_tokens(docs: DataFrame, key: str, text: str, longer_than: int = 2)
 
 
 def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, tf, df). Counted by document first, so the second shuffle carries a row a term and document at most."""
-    per_doc = exploded_tokens(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    """(term, tf, df). A document's words are sorted in the row, so that each term's first place counts the document and one shuffle, after partial aggregation, is enough. The key isn't needed."""
+    words = docs.select(F.array_sort(T.tokens(F.col(text))).alias("w"))
+    marked = words.select(F.explode(F.zip_with("w", F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))), lambda x, before: F.struct(x.alias("term"), (before.isNull() | (x != before)).cast("int").alias("first")))).alias("x"))
+    return marked.where("x.term is not null").groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.sum("x.first").alias("df"))
 
 
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, form: str = "okapi") -> DataFrame:
@@ -58,9 +59,31 @@ def _equal(t: str):
 
 def min_max(scores: DataFrame, by: list[str] = ()) -> DataFrame:
     """Scores brought to 0..1 within a result; all equal: 0.5."""
-    w = W.partitionBy(*by) if by else W.partitionBy()
-    lo, hi = F.min("score").over(w), F.max("score").over(w)
-    return scores.withColumn("score", F.when(lo == hi, 0.5).otherwise((F.col("score") - lo) / (hi - lo)))
+    bounds = scores.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    joined = scores.join(bounds, list(by)) if by else scores.crossJoin(F.broadcast(bounds))  # one row on that side
+    return joined.withColumn("score", F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+
+
+def above_ratio(scores: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """The rows of a result that score ratio of the best at least."""
+    top = scores.agg(F.max("score").alias("_top"))
+    return scores.crossJoin(F.broadcast(top)).where(F.col("score") >= ratio * F.col("_top")).drop("_top")
+
+
+def above_mean(scores: DataFrame, sigmas: float = 0.25) -> DataFrame:
+    """The rows that score over the mean by more than so many population deviations."""
+    bar = scores.agg((F.avg("score") + sigmas * F.stddev_pop("score")).alias("_bar"))
+    return scores.crossJoin(F.broadcast(bar)).where("score > _bar").drop("_bar")
+
+
+def rank_files(scores: DataFrame, facts: DataFrame, query: list[str], key: str = "fact_id", file: str = "file", text: str = "fact", top: int = 5) -> DataFrame:
+    """(file, total, matches, code, weight) of the best files: scores (key, score) of facts joined to their files. A fact of three parts between bars names code in the third: the share of query terms there counts twice, each match one and a half times."""
+    parts = F.split(F.col(text), r"\|")
+    q = F.array(*map(F.lit, query))
+    code = F.when(F.size(parts) == 3, F.size(F.array_intersect(F.array_distinct(q), T.tokens(F.get(parts, 2), 0))) / len(query)).otherwise(0.0)
+    joined = scores.join(facts.select(key, file, code.alias("_code")), key)
+    own = joined.groupBy(file).agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("matches"), F.max("_code").alias("code"))
+    return own.withColumn("weight", 2 * F.col("code") + 1.5 * F.col("matches") + F.col("total")).orderBy(F.desc("weight"), file).limit(top)
 
 
 def with_neighbours(chunks: DataFrame, hit: Column, by: str, pos: str) -> DataFrame:
@@ -119,3 +142,34 @@ def confidence(coverage_: Column, consistency_: Column, saturation_: Column) ->
 
 def link_rank(relevance: Column, novelty: Column, authority: Column | None = None) -> Column:
     return 0.5 * relevance + 0.3 * novelty + 0.2 * (F.lit(1.0) if authority is None else authority)
+
+
+_TAG_SAY = {"h1": 5.0, "h2": 4.0, "h3": 3.0, "title": 4.0, "strong": 2.0, "b": 1.5, "em": 1.5, "blockquote": 2.0, "code": 2.0, "pre": 1.5, "th": 1.5}
+
+
+def relevant_blocks(blocks: DataFrame, query: list[str], by: str = "page_id", pos: str = "pos", tag: str = "tag", text: str = "text", least: float = 1.0, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The blocks of each page that score least or more against a query, with their scores: Okapi BM25 over the page's own blocks, times the weight of the block's tag. A term in more than half of them counts a quarter of the page's mean idf."""
+    q = list(dict.fromkeys(query))
+    sized = blocks.withColumn("_w", T.tokens(F.col(text), 0)).withColumn("_n", F.size("_w"))
+    whole = sized.groupBy(by).agg(F.count(F.lit(1)).alias("_blocks"), F.avg("_n").alias("_mean"))
+    df = sized.select(by, F.explode(F.array_distinct("_w")).alias("_t")).groupBy(by, "_t").agg(F.count(F.lit(1)).alias("_df"))
+    raw = F.log(F.col("_blocks") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)
+    terms = df.join(whole.select(by, "_blocks"), by).withColumn("_idf", raw)
+    stats = terms.groupBy(by).agg(F.avg("_idf").alias("_avg"), F.map_from_entries(F.collect_list(F.when(F.col("_t").isin(*q), F.struct("_t", "_idf")))).alias("_idfs"))
+    joined = sized.join(whole, by).join(stats, by)
+    score = F.lit(0.0)
+    for x in query:
+        tf = F.size(F.filter("_w", _equal(x))).cast("double")
+        idf = F.coalesce(F.try_element_at("_idfs", F.lit(x)), F.lit(0.0))
+        idf = F.when(idf < 0, 0.25 * F.col("_avg")).otherwise(idf)
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_n") / F.col("_mean")))
+    weight = F.lit(1.0)
+    for name, say in _TAG_SAY.items():
+        weight = F.when(F.col(tag) == name, say).otherwise(weight)
+    return joined.withColumn("score", score * weight).where(F.col("score") >= least).select(*blocks.columns, "score")
+
+
+def content_of(mode: Column, raw: Column, cleaned: Column, fit: Column, markdown: Column, fit_markdown: Column) -> Column:
+    """The form of a page that a consumer asks for by name; where the pruned forms are empty, the whole ones; an unknown name gives markdown."""
+    some = lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(b)
+    return F.when(mode == "raw_html", raw).when(mode == "cleaned_html", cleaned).when(mode == "fit_html", some(fit, cleaned)).when(mode == "fit_markdown", some(fit_markdown, markdown)).otherwise(markdown)

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions import vectors as V
 from ..operators import adaptive, frontier, links, search, vectors
-from ..operators import scrape as S
 from ..sources import pages as P
 from ..streaming import telemetry as M
 
@@ -82,8 +80,13 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LINKS + "SELECT base AS site, kind, count(*) AS n FROM (SELECT DISTINCT page_id, base, kind, target FROM links) GROUP BY ALL")
 def links_internal_external(spark, d):
-    first = links.first_links(page_links(spark, d))
-    return first.groupBy(U.base_domain(F.col("url")).alias("site"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    once = page_links(spark, d).select("page_id", U.base_domain(F.col("url")).alias("site"), "kind", "target").distinct()
+    return once.groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LINKS + "SELECT page_id, kind, target, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id, kind, target ORDER BY pos) AS n FROM links) WHERE n = 1")
+def first_links(spark, d):
+    return links.first_links(page_links(spark, d)).select("page_id", "kind", "target", F.col("pos").cast("bigint").alias("pos"), "text")
 
 
 @query(LINKS + "SELECT page_id, pos, href, text, target, kind FROM links")
@@ -254,7 +257,7 @@ def content_digest(spark, d):
 
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: len(w) > 2)"
-_JAVA_ENTITIES = [k for k in T.ENTITIES if k not in ("currency",)]
+_JAVA_ENTITIES = list(T.ENTITIES)
 
 
 @query("SELECT label, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(text, '(?im){T.ENTITIES[k].replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k in _JAVA_ENTITIES) + ") GROUP BY 1")
@@ -283,9 +286,9 @@ def chunk_overlap(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(T.chunk_overlapping(F.col("text"), 200, 20)).alias("c")).select("doc_id", F.md5(F.encode("c", "UTF-8")).alias("digest"))
 
 
-@query(f"SELECT doc_id, CAST(ceil(greatest(len({WORDS}), 1) / 150.0) AS BIGINT) AS chunks FROM documents")
+@query(f"SELECT doc_id, k AS pos, md5(array_to_string(w[k * 150 + 1:k * 150 + 150], ' ')) AS digest FROM (SELECT doc_id, w, unnest(range(CAST(ceil(greatest(len(w), 1) / 150.0) AS BIGINT))) AS k FROM (SELECT doc_id, {WORDS} AS w FROM documents))")
 def merge_chunks(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(T.merge_chunks(T.words(F.col("text")), 150)).cast("bigint").alias("chunks"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(T.merge_chunks(T.words(F.col("text")), 150)).alias("pos", "c")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5(F.encode("c", "UTF-8")).alias("digest"))
 
 
 TERMS = f"SELECT doc_id, unnest({TOKENS}) AS term FROM documents"
@@ -336,9 +339,9 @@ def relevant_topk(spark, d):
     return t(spark, d, "documents").select("doc_id", F.round(F.size(F.array_intersect(q, T.tokens(F.col("text")))) / 4, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-def _bm25_sql(form: str) -> str:
+def _bm25_sql(form: str, source: str = "documents") -> str:
     idf = "CASE WHEN raw < 0 THEN .25 * avg(raw) OVER () ELSE raw END" if form == "okapi" else "ln(1 + (big - n + .5) / (n + .5))"
-    return f"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: len(w) > 0) AS w FROM documents),
+    return f"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: len(w) > 0) AS w FROM {source}),
   g AS (SELECT count(*) AS big, avg(len(w)) AS avgdl FROM s),
   h AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM s) WHERE term IN ('and', 'erthin', 'the', 'thonre') GROUP BY ALL),
   f AS (SELECT term, count(*) AS n FROM h GROUP BY 1),
@@ -370,19 +373,9 @@ def head_relevance(spark, d):
     return t(spark, d, "pages").select("page_id", F.split(F.lower(title()), r"\s+").alias("w")).select("page_id", F.round(search.head_bm25(F.col("w"), ["the", "of"]), 6).alias("score"))
 
 
-_CHUNKS = "(SELECT conv_id, turn, contains(lower(text), 'thon') AS hit FROM conversations)"
-
-
-@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CAST(hit AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM {_CHUNKS}) WHERE near = 1")
-def search_ratio_neighbors(spark, d):
-    return search.with_neighbours(t(spark, d, "conversations"), F.contains(F.lower("text"), F.lit("thon")), "conv_id", "turn").select("conv_id", "turn")
-
-
-@query(f"SELECT doc_id, round(score, 6) AS score FROM (SELECT *, avg(score) OVER () + .25 * stddev_pop(score) OVER () AS bar FROM ({_bm25_sql('plus')})) WHERE score >= bar")
+@query(f"SELECT doc_id, round(score, 6) AS score FROM (SELECT *, avg(score) OVER () + .25 * stddev_pop(score) OVER () AS bar FROM ({_bm25_sql('plus')})) WHERE score > bar")
 def search_mean_std(spark, d):
-    s = search.bm25(t(spark, d, "documents"), _Q, form="plus")
-    bar = s.agg((F.avg("score") + 0.25 * F.stddev_pop("score")).alias("bar"))
-    return s.crossJoin(F.broadcast(bar)).where("score >= bar").select("doc_id", F.round("score", 6).alias("score"))
+    return search.above_mean(search.bm25(t(spark, d, "documents"), _Q, form="plus")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT conv_id, round(sum(s / r) / sum(1.0 / r), 6)::DOUBLE AS score FROM (SELECT conv_id, len(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY len(text) DESC) AS r FROM conversations) GROUP BY 1")
@@ -426,44 +419,41 @@ def grouped_chunks(spark, d):
     return g.select("conv_id", F.md5(F.encode(F.array_join(F.transform("x", lambda r: F.concat(r["role"], F.lit(": "), r["text"])), "\n"), "UTF-8")).alias("digest"), "n")
 
 
-# Vectors. Query points: every row whose id is divisible by 50.
+# Vectors. Query points: every row whose id is divisible by 50, against all other rows.
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_PAIRS = f"SELECT a.vec_id AS q, b.vec_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id"
 
 
 def _points(spark, d):
-    """All rows; the query points, each fiftieth; the others as the knowledge base."""
+    """All rows; the query points, each fiftieth."""
     v = t(spark, d, "embeddings")
-    return v, v.where("vec_id % 50 = 0"), v.where("vec_id % 50 <> 0")
+    return v, v.where("vec_id % 50 = 0")
 
 
-@query(f"SELECT q, vec_id, round(s, 5) AS sim FROM (SELECT a.vec_id AS q, b.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE r <= 5")
+@query(f"SELECT q, vec_id, round(s, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS r FROM ({_PAIRS})) WHERE r <= 5")
 def cosine_topk(spark, d):
-    kb, q, _ = _points(spark, d)
-    w = W.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "vec_id")
-    best = vectors.similarities(kb, q).withColumn("r", F.row_number().over(w)).where("r <= 5")
-    return best.select("q", "vec_id", F.round("sim", 5).alias("sim"))
+    rows, q = _points(spark, d)
+    return vectors.nearest(rows, q, 5).select("q", "vec_id", F.round("sim", 5).alias("sim"))
 
 
-_GAPS = f"SELECT a.vec_id AS q, 1 - max({_COS}) AS gap FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 GROUP BY 1"
+_GAPS = f"SELECT q, 1 - max(s) AS gap FROM ({_PAIRS}) GROUP BY 1"
 
 
 @query(f"SELECT q, round(gap, 5) AS gap FROM ({_GAPS})")
 def coverage_gaps(spark, d):
-    _, q, kb = _points(spark, d)
-    return vectors.gaps(kb, q).select("q", F.round("gap", 5).alias("gap"))
+    return vectors.gaps(*_points(spark, d)).select("q", F.round("gap", 5).alias("gap"))
 
 
 @query(f"SELECT round(avg(1 - gap), 5) AS mean_best, round(median(1 - gap), 5) AS median_best, avg(CAST(gap <= .3 AS INT)) AS hit_rate FROM ({_GAPS})")
 def embedding_coverage(spark, d):
-    _, q, kb = _points(spark, d)
-    return vectors.coverage(vectors.gaps(kb, q)).select(F.round("mean_best", 5).alias("mean_best"), F.round("median_best", 5).alias("median_best"), "hit_rate")
+    return vectors.coverage(vectors.gaps(*_points(spark, d))).select(F.round("mean_best", 5).alias("mean_best"), F.round("median_best", 5).alias("median_best"), "hit_rate")
 
 
-@query(f"SELECT vec_id FROM embeddings n WHERE vec_id % 50 = 0 AND (SELECT max(list_cosine_similarity(n.embedding::DOUBLE[], b.embedding::DOUBLE[])) FROM embeddings b WHERE b.vec_id % 50 <> 0) < .95")
+@query(f"SELECT q AS vec_id FROM ({_GAPS}) WHERE 1 - gap < .95")
 def kb_dedup(spark, d):
-    _, q, kb = _points(spark, d)
-    return vectors.without_near_copies(q, kb).select("vec_id")
+    rows, q = _points(spark, d)
+    return vectors.without_near_copies(q, rows).select("vec_id")
 
 
 @query("SELECT i - 1 AS dim, round(avg(embedding[i]::DOUBLE), 5) AS mean, round(stddev_pop(embedding[i]::DOUBLE), 5) AS std FROM embeddings, range(1, 65) r(i) GROUP BY 1")
@@ -471,10 +461,10 @@ def centroid_radius(spark, d):
     return vectors.cloud(t(spark, d, "embeddings")).select(F.col("dim").cast("bigint").alias("dim"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query(f"WITH g AS ({_GAPS}), l AS (SELECT * FROM embeddings WHERE vec_id % 50 = 1), k AS (SELECT * FROM embeddings WHERE vec_id % 50 > 1), e AS (SELECT a.vec_id, sum(greatest(0, gap - (1 - {_COS})) * 2) / count(*) AS gain FROM l a, embeddings b JOIN g ON g.q = b.vec_id WHERE gap > .2 GROUP BY 1), m AS (SELECT a.vec_id, max({_COS}) AS sim FROM l a, k b GROUP BY 1) SELECT vec_id, round(gain * (1 - 2 * greatest(0, sim - .85)), 5) AS score FROM e JOIN m USING (vec_id)")
+@query(f"WITH g AS ({_GAPS}), o AS (SELECT * FROM embeddings JOIN g ON q = vec_id WHERE gap > .2), e AS (SELECT b.vec_id, sum(greatest(0, gap - (1 - {_COS})) * 2) / count(*) AS gain FROM o a, embeddings b GROUP BY 1), m AS (SELECT vec_id, max(s) AS sim FROM ({_PAIRS}) GROUP BY 1) SELECT vec_id, round(gain * (1 - 2 * greatest(0, sim - .85)), 5) AS score FROM e JOIN m USING (vec_id)")
 def gap_link_score(spark, d):
-    v, q, kb = _points(spark, d)
-    return vectors.gap_link_scores(v.where("vec_id % 50 = 1"), vectors.gaps(kb, q), q, v.where("vec_id % 50 > 1")).select("vec_id", F.round("score", 5).alias("score"))
+    rows, q = _points(spark, d)
+    return vectors.gap_link_scores(rows, vectors.gaps(rows, q), q, q).select("vec_id", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -483,13 +473,11 @@ def cluster_cosine(spark, d):
     return vectors.cluster(v, "bucket")
 
 
-@query()
+@query(f"SELECT q, vec_id, round(s, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s >= .3 DESC, CASE WHEN s >= .3 THEN vec_id END, s DESC, vec_id) AS r FROM (SELECT q, vec_id, round(s, 9) AS s FROM ({_PAIRS}))) WHERE r <= 20")
 def cosine_filter_backfill(spark, d):
     """Of each query point, the other rows above a similarity in input order, then the best of the rest up to a number."""
-    v, q, _ = _points(spark, d)
-    s = vectors.similarities(v, q).where("q <> vec_id").withColumn("over", F.col("sim") >= 0.3)
-    w = W.partitionBy("q").orderBy(F.desc("over"), F.when(F.col("over"), F.col("vec_id")), F.desc("sim"), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 20").select("q", "vec_id", F.round("sim", 5).alias("sim"))
+    rows, q = _points(spark, d)
+    return vectors.nearest(rows, q, 20, least=0.3).select("q", "vec_id", F.round("sim", 5).alias("sim"))
 
 
 # Graph, cache, telemetry.
@@ -513,9 +501,11 @@ def best_first_order(spark, d):
     return frontier.best_first(_edges(spark, d), spark.createDataFrame([("1",)], "url string"), F.length("url") * 1.0 + F.col("url").cast("double") / 1000, max_pages=30)
 
 
-@query()
+@query("WITH RECURSIVE w AS (SELECT '1' AS url, ['1'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS src, CAST(p_partkey * 2 + k AS VARCHAR) AS dst FROM part, (VALUES (0), (1), (2)) v(k)) e ON src = url) SELECT url, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS pos FROM (SELECT url, min(path) AS first FROM w GROUP BY 1)")
 def dfs_order(spark, d):
-    return frontier.dfs(_edges(spark, d), spark.createDataFrame([("1",)], "url string"), 3)
+    """Depth-first order over a graph in which a page is first met on its least path."""
+    e = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("src"), F.explode(F.array(*[(F.col("p_partkey") * 2 + k).cast("string") for k in range(3)])).alias("dst")).distinct()
+    return frontier.dfs(e, spark.createDataFrame([("1",)], "url string"), 60, max_pages=1_000_000).select("url", "pos")
 
 
 @query(f"SELECT DISTINCT dst AS url FROM {_EDGES} WHERE dst NOT IN (SELECT src FROM {_EDGES} WHERE dst = '7')")
@@ -549,11 +539,16 @@ def cache_modes(spark, d):
     return t(spark, d, "pages").select("page_id", m.alias("mode"), "url").select("page_id", "mode", P.cache_decision(F.col("mode"), F.col("url")).alias("c")).select("page_id", "mode", "c.read", "c.write")
 
 
-@query(f"SELECT page_id, url, NOT starts_with({at(PATH)}, '/de/') AS allowed FROM pages")
+_ROBOTS = "User-agent: *\nAllow: /{a}/1\nDisallow: /{a}/\nDisallow: /{b}/\n"
+
+
+@query(f"SELECT page_id, url, starts_with({at(PATH)}, '/' || a || '/1') OR NOT starts_with({at(PATH)}, '/' || a || '/') AND NOT starts_with({at(PATH)}, '/' || b || '/') AS allowed FROM (SELECT *, CASE WHEN len({at(HOST)}) % 3 = 0 THEN 'de' WHEN len({at(HOST)}) % 3 = 1 THEN 'en' ELSE 'x' END AS a, CASE WHEN len({at(HOST)}) % 2 = 0 THEN 'fr' ELSE 'es' END AS b FROM pages)")
 def robots_allowed(spark, d):
     p = t(spark, d, "pages").withColumn("domain", U.netloc(F.col("url")))
-    rules = p.select("domain").distinct().withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /de/\n"))
-    return P.robots_allowed(p.select("domain", "url", "page_id"), rules).join(p.select("page_id", "url", "domain"), ["url", "domain"]).select("page_id", "url", "allowed").distinct()
+    n = F.length("domain")
+    a, b = F.when(n % 3 == 0, "de").when(n % 3 == 1, "en").otherwise("x"), F.when(n % 2 == 0, "fr").otherwise("es")
+    rules = p.select("domain").distinct().withColumn("robots_txt", F.replace(F.replace(F.lit(_ROBOTS), F.lit("{a}"), a), F.lit("{b}"), b))
+    return P.robots_allowed(p.select("page_id", "url", "domain"), rules).select("page_id", "url", "allowed")
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -579,10 +574,11 @@ def proxy_round_robin(spark, d):
     return M.round_robin(t(spark, d, "pages").select("page_id"), ["a", "b", "c"], "page_id").select("page_id", "proxy")
 
 
-@query()
+@query("WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS domain, ts, status, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM (SELECT user_id, ts, max(CASE WHEN event_id % 7 = 0 THEN 429 ELSE 200 END) AS status FROM events GROUP BY ALL)), s AS (SELECT domain, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS n, 1.0::DOUBLE AS delay, 0 AS fails, true AS goes_on FROM r WHERE n = 1 UNION ALL SELECT r.domain, CAST(r.ts AS TIMESTAMP), r.n, CASE WHEN status = 429 THEN least(greatest(delay, 1) * 2, 60) ELSE greatest(1, delay * .75) END, CASE WHEN status = 429 THEN fails + 1 ELSE 0 END, status <> 429 OR fails + 1 <= 3 FROM s JOIN r ON r.domain = s.domain AND r.n = s.n + 1) SELECT domain, epoch_us(ts) AS us, round(delay, 6) AS delay, fails, goes_on FROM s WHERE n > 0")
 def rate_limiter_state(spark, d):
-    r = t(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("domain"), "ts", F.when(F.col("event_id") % 7 == 0, 429).otherwise(200).alias("status"))
-    return M.rate_states(r)
+    """The back-off state of every user's requests; of several at one time, one."""
+    own = t(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("domain"), "ts").agg(F.max(F.when(F.col("event_id") % 7 == 0, 429).otherwise(200)).alias("status"))
+    return M.rate_states(own).select("domain", F.unix_micros("ts").alias("us"), F.round("delay", 6).alias("delay"), "fails", "goes_on")
 
 
 @query(f"SELECT (SELECT count(*) FROM documents) AS pages, (SELECT sum(len(text)) FROM documents)::BIGINT AS chars, (SELECT count(DISTINCT term) FROM ({TERMS})) AS terms")
@@ -593,75 +589,6 @@ def collection_stats(spark, d):
     return a.crossJoin(b)
 
 
-# Page trees: rows only; tests hold them against small fixtures.
-
-
-def _scrape(spark, d, *wanted):
-    p = t(spark, d, "pages")
-    return S.scrape(p.repartition(spark.sparkContext.defaultParallelism * 2), wanted)
-
-
-@query()
-def scrape_clean_html(spark, d):
-    return _scrape(spark, d, "cleaned_html")
-
-
-@query()
-def prune_content(spark, d):
-    return _scrape(spark, d, "pruned_html")
-
-
-@query()
-def bm25_content(spark, d):
-    b = _scrape(spark, d, "blocks").select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.*")
-    key = F.concat_ws(":", "page_id", "pos")
-    scored = search.bm25(b.withColumn("k", key), ["the", "and"], key="k", form="plus")
-    return b.withColumn("k", key).join(scored, "k").where("score >= 0.1").select("page_id", "pos", "tag", "text", F.round("score", 6).alias("score"))
-
-
-@query()
-def page_metadata(spark, d):
-    return _scrape(spark, d, "metadata", "page_query").select("page_id", F.col("metadata")["title"].alias("title"), F.col("metadata")["lang"].alias("lang"), "page_query")
-
-
-@query()
-def page_media(spark, d):
-    return _scrape(spark, d, "media").select("page_id", F.explode("media").alias("m")).select("page_id", "m.*")
-
-
-@query()
-def page_tables(spark, d):
-    return _scrape(spark, d, "tables").select("page_id", F.explode("tables").alias("x")).select("page_id", "x.pos", "x.caption", F.size("x.rows").alias("n_rows"))
-
-
-@query()
-def markdown(spark, d):
-    return _scrape(spark, d, "markdown")
-
-
-@query()
-def fit_markdown(spark, d):
-    return _scrape(spark, d, "fit_markdown")
-
-
-@query()
-def link_citations(spark, d):
-    m = _scrape(spark, d, "markdown")
-    return m.select("page_id", F.posexplode(links.citations(F.col("markdown"))).alias("pos", "c")).select("page_id", "pos", "c.*")
-
-
-@query()
-def extract_css(spark, d):
-    schema = {"baseSelector": "nav li", "fields": [dict(name="label", type="text", selector="a"), dict(name="href", type="attribute", attribute="href", selector="a"), dict(name="size", type="computed", expression="length(label)")]}
-    return S.extract(t(spark, d, "pages"), schema)
-
-
-@query()
-def extract_xpath(spark, d):
-    schema = {"baseSelector": "//nav//li", "fields": [dict(name="label", type="text", selector=".//a"), dict(name="href", type="attribute", attribute="href", selector=".//a[@href]")]}
-    return S.extract(t(spark, d, "pages"), schema, by="xpath")
-
-
 # Collection in rounds, and the remaining text functions.
 
 
@@ -677,24 +604,20 @@ def link_ranking(spark, d):
     return t(spark, d, "documents").select("doc_id", F.round(search.link_rank(adaptive.relevance(c, _Q), adaptive.novelty(c, ["the", "and"])), 6).alias("score"))
 
 
-@query("SELECT doc_id, unnest(range(len(c))) AS pos, len(unnest(c)) AS n FROM (SELECT doc_id, list_filter(string_split(replace(text, '. ', '.' || chr(1)), chr(1)), lambda s: trim(s) <> '') AS c FROM documents)")
+@query("SELECT doc_id, unnest(range(len(c))) AS pos, md5(unnest(c)) AS digest FROM (SELECT doc_id, list_filter(string_split(replace(text, '. ', '.' || chr(1)), chr(1)), lambda s: trim(s) <> '') AS c FROM documents)")
 def chunk_stops(spark, d):
     """Chunks after each full stop and space."""
     pieces = F.filter(F.split(F.replace("text", F.lit(". "), F.lit(".\x01")), "\x01", -1), lambda s: F.trim(s) != "")
-    return t(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "c")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("c").cast("bigint").alias("n"))
+    return t(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "c")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5(F.encode("c", "UTF-8")).alias("digest"))
 
 
-@query()
+@query("WITH c AS (SELECT doc_id, unnest(range(len(c))) AS i, unnest(c) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS c FROM documents)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS INT) AS pos, md5(sentence) AS sentence FROM c WHERE sentence <> '' GROUP BY doc_id, sentence")
 def chunk_sentences(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_sentences(F.col("text"))).alias("pos", "sentence"))
-
-
-@query()
-def chunk_md_sections(spark, d):
-    return _scrape(spark, d, "markdown").select("page_id", F.posexplode(T.chunk_markdown(F.col("markdown"))).alias("pos", "section"))
+    c = t(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_sentences(F.col("text"))).alias("pos", "sentence"))
+    return c.withColumn("sentence", F.md5(F.encode("sentence", "UTF-8")))
 
 
-@query()
+@query("WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS url, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: len(w) > 2)) AS w FROM documents), e AS (SELECT CAST(doc_id AS VARCHAR) AS src, CAST((doc_id * k + k - 1) % n AS VARCHAR) AS dst FROM documents, n, (VALUES (2), (3)) v(k)), r1 AS (SELECT '0' AS url, 0 AS step), k1 AS (SELECT coalesce(list(q), []) AS k FROM (VALUES ('the'), ('and'), ('thonre')) v(q) WHERE q IN (SELECT unnest(w) FROM d JOIN r1 USING (url))), r2 AS (SELECT url, 1 AS step FROM (SELECT DISTINCT d.url, .5 * len(list_intersect(['the', 'and', 'thonre'], w)) / 3 + .3 * CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: NOT list_contains(k, x))) / len(w) END + .2 AS score FROM e JOIN r1 ON src = r1.url JOIN d ON d.url = dst, k1 WHERE dst NOT IN (SELECT url FROM r1)) ORDER BY score DESC, url LIMIT 3), k2 AS (SELECT coalesce(list(q), []) AS k FROM (VALUES ('the'), ('and'), ('thonre')) v(q) WHERE q IN (SELECT unnest(w) FROM d WHERE url IN (SELECT url FROM r1 UNION ALL SELECT url FROM r2))), r3 AS (SELECT url, 2 AS step FROM (SELECT DISTINCT d.url, .5 * len(list_intersect(['the', 'and', 'thonre'], w)) / 3 + .3 * CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: NOT list_contains(k, x))) / len(w) END + .2 AS score FROM e JOIN (SELECT url FROM r1 UNION ALL SELECT url FROM r2) r ON src = r.url JOIN d ON d.url = dst, k2 WHERE dst NOT IN (SELECT url FROM r1 UNION ALL SELECT url FROM r2)) ORDER BY score DESC, url LIMIT 3) SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3")
 def adaptive_digest(spark, d):
     docs = t(spark, d, "documents")
     n = docs.count()

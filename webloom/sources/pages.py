@@ -56,31 +56,49 @@ def robots_sitemaps(robots: Column) -> Column:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """(domain, url, allowed): urls (domain, url) against rules (domain, robots_txt). Without rules a url is allowed."""
+    """urls (domain, url, ...) with allowed, against rules (domain, robots_txt): the first rule of the agent's group whose path the url's path begins with decides. Without rules a url is allowed.
+
+    The texts are parsed once a domain; a url meets its domain's rules as columns.
+    """
     import pyarrow as pa
 
-    @F.arrow_udf("boolean")
-    def ok(texts, targets):
-        seen: dict = {}
+    kind = "array<struct<path:string,allow:boolean>>"
+
+    @F.arrow_udf(kind)
+    def parsed(texts):
         out = []
-        for t, u in zip(texts.to_pylist(), targets.to_pylist(), strict=True):
-            if not t:
-                out.append(True)
-                continue
-            if t not in seen:
-                if len(seen) > 1000:
-                    seen.clear()
-                seen[t] = RobotFileParser()
-                seen[t].parse(t.splitlines())
-            out.append(seen[t].can_fetch(agent, u))
-        return pa.array(out, pa.bool_())
+        for t in texts.to_pylist():
+            r = RobotFileParser()
+            r.parse((t or "").splitlines())
+            group = next((e for e in r.entries if e.applies_to(agent)), r.default_entry)
+            out.append([{"path": x.path, "allow": bool(x.allowance)} for x in group.rulelines] if group else [])
+        return pa.array(out, pa.list_(pa.struct([("path", pa.string()), ("allow", pa.bool_())])))
 
-    return urls.join(rules, "domain", "left").select("domain", "url", ok("robots_txt", "url").alias("allowed"))
+    own = rules.select("domain", parsed("robots_txt").alias("_rules"))
+    target = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    target = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
+    met = F.filter("_rules", lambda r: (r["path"] == "*") | target.startswith(r["path"]))
+    return urls.join(own, "domain", "left").withColumn("allowed", F.coalesce(F.get(met, F.lit(0))["allow"], F.lit(True))).drop("_rules")
 
 
 def partial_head(html: Column) -> Column:
-    """A page up to the end of its head."""
-    return F.substring_index(html, "</head>", 1)
+    """A page up to the end of its head, whatever the case of the tag; the whole page without one."""
+    return F.get(F.split(html, r"(?i)</head\s*>", 2), 0)
+
+
+def union_seeds(*sources: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
+    """(url, source, pos) of several sources of (url, pos): each url where it comes first, by the order of the sources, then of the rows."""
+    rows = [s.select(url, F.lit(k).alias("source"), F.col(pos).cast("bigint").alias(pos)) for k, s in enumerate(sources)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    return both.groupBy(url).agg(F.min(F.struct("source", pos)).alias("m")).select(url, "m.source", f"m.{pos}")
+
+
+def seed_domains(urls: DataFrame, domain: str = "domain", score: str = "score", most: int = 100, url: str = "url") -> DataFrame:
+    """The best urls of each domain by score, then by name, with their rank. A domain's list is cut in the window, whose sort spills."""
+    w = W.partitionBy(domain).orderBy(F.desc(score), url)
+    return urls.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 class PageCache:
@@ -99,6 +117,10 @@ class PageCache:
 
     def upsert(self, rows: DataFrame) -> None:
         """rows: (url, ts, ...). Of rows with a url, the latest stays."""
+        jvm = self.spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{self.path}.stage/_SUCCESS")
+        if done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            self._publish()
         new = rows.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(self.buckets)).cast("int"))
         old = self.table()
         if old is not None:
@@ -107,7 +129,15 @@ class PageCache:
         merged = latest(new, "url", "ts")
         stage = f"{self.path}.stage"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
+        self._publish()
+
+    def _publish(self) -> None:
+        """Bring the finished stage's buckets into the table and remove it. A failure leaves the whole stage, from which the next call begins."""
+        stage = f"{self.path}.stage"
         self.spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(stage)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def probe(self, urls: DataFrame) -> DataFrame:
         """urls ⟕ cache."""

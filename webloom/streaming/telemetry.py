@@ -88,3 +88,15 @@ def round_robin(rows: DataFrame, proxies: list[str], order: str) -> DataFrame:
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     turn = F.pmod(local + F.col("_before"), F.lit(len(proxies))).cast("int")
     return parts.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("proxy", F.get(F.array(*map(F.lit, proxies)), turn)).drop("_p", "_m", "_before")
+
+
+def token_totals(usage: DataFrame, by: str, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
+    """(by, calls, prompt, completion, total) of token counts a call."""
+    return usage.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.sum(prompt).alias("prompt"), F.sum(completion).alias("completion"), F.sum(F.col(prompt) + F.col(completion)).alias("total"))
+
+
+def queue_state(tasks: DataFrame, status: str = "status", waited: str = "waited") -> DataFrame:
+    """One row: how many tasks are queued, active and done, and the mean and longest wait of those queued."""
+    queued = F.col(status) == "queued"
+    count = lambda s: F.count_if(F.col(status) == s).alias(s)
+    return tasks.agg(count("queued"), count("active"), count("done"), F.avg(F.when(queued, F.col(waited))).alias("mean_wait"), F.max(F.when(queued, F.col(waited))).alias("longest_wait"))
