@@ -1,15 +1,15 @@
 import pytest
 from oracle import same
 
-from webloom.plans import catalog
+from webloom.plans import catalog, content
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(content.SQL))
 def test_matches_sql(spark, sf, name):
     same(spark, sf, catalog.QUERIES[name], catalog.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+@pytest.mark.parametrize("name", sorted(set(content.QUERIES) - set(content.SQL)))
 def test_rows(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     assert df.columns

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() where the session names a folder for it; small tests go without."""
+    """checkpoint() in the folder that spark.checkpoint.dir names; a session on this machine alone gets a temporary one where that is unset."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="webloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        where = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint() if where else df
+    return df.checkpoint()
 
 
 def unvisited(found: DataFrame, visited: DataFrame, key: str = "url") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,19 +110,41 @@ def coverage(stats: DataFrame, query: list[str], n_docs: DataFrame) -> DataFrame
     return each.agg(F.least(F.lit(1.0), F.sqrt(F.avg(score))).alias("coverage"))
 
 
+#: Documents that are compared with as many others in one group.
+BLOCK = 256
+
+
 def consistency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (consistency): the mean Jaccard similarity of all pairs of documents.
+    """One row (consistency): the mean Jaccard similarity of all pairs of documents; 1 for fewer than two.
 
-    For a knowledge base of a crawl, some dozens of pages: pairs that share a term meet in a join on the term; pairs that
-    share none count as 0 through the number of pairs.
+    Meant for the pages of one crawl, as the pairs grow by the square. Documents are dealt to blocks by hash and every two blocks
+    meet in a group of bounded size, from which only a sum comes out; a word that all documents share makes no group of its own.
     """
-    terms = exploded_tokens(docs, key, text).distinct()
-    size = terms.groupBy(key).agg(F.count(F.lit(1)).alias("s"))
-    x, y = terms.select(F.col(key).alias("x"), "term"), terms.select(F.col(key).alias("y"), "term")
-    both = x.join(y, "term").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    j = both.join(size.select(F.col(key).alias("x"), F.col("s").alias("sx")), "x").join(size.select(F.col(key).alias("y"), F.col("s").alias("sy")), "y")
-    total = size.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs"))
-    return j.agg(F.sum(F.col("c") / (F.col("sx") + F.col("sy") - F.col("c"))).alias("sum")).crossJoin(total).select(F.when(F.col("pairs") < 1, 1.0).otherwise(F.coalesce("sum", F.lit(0.0)) / F.col("pairs")).alias("consistency"))
+    import pyarrow as pa
+
+    n = docs.count()
+    k = max(1, -(-n // BLOCK))
+
+    def run(t):
+        rows = [np.unique(np.array(x, np.int64)) for x in t.column("w").to_pylist()]
+        own = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]))
+        m = np.zeros((len(rows), len(own)), np.float32)
+        for i, r in enumerate(rows):
+            m[i, np.searchsorted(own, r)] = 1
+        first, second = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("first", "second"))
+        size = m.sum(1)
+        both = m[first] @ m[second].T
+        all_ = size[first][:, None] + size[second][None, :] - both
+        j = np.divide(both, all_, out=np.zeros_like(both, np.float64), where=all_ > 0)
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        return pa.table({"s": [float((j.sum() - np.trace(j)) / 2 if same else j.sum())]})
+
+    dealt = docs.select(F.pmod(F.xxhash64(key), F.lit(k)).alias("b"), F.transform(F.array_distinct(T.tokens(F.col(text))), lambda w: F.xxhash64(w)).alias("w"))
+    spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
+    groups = spread.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") == F.least("b", "o")).alias("first"), (F.col("b") == F.greatest("b", "o")).alias("second"), "w")
+    total = groups.groupBy("i", "j").applyInArrow(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    pairs = n * (n - 1) / 2
+    return total.select((F.lit(1.0) if pairs < 1 else F.col("s") / pairs).alias("consistency"))
 
 
 def new_terms(steps: DataFrame, step: str = "step") -> DataFrame:

@@ -41,7 +41,7 @@ def backoff(delay: float, fails: int, status: int, jitter: float = 1.0, base: fl
 
 
 def rate_states(responses: DataFrame, key: str = "domain", ts: str = "ts", status: str = "status", base: float = 1.0) -> DataFrame:
-    """(key, ts, delay, fails, goes_on) after each response. On a stream the state is kept by key; a batch is folded in order, without holding a key's rows."""
+    """(key, ts, delay, fails, goes_on) after each response. On a stream the state is kept by key; a batch is folded in order, without holding a key's rows. A state follows from the one before, so the responses of one domain, however many, are gone through by one task."""
     import pandas as pd
 
     schema = f"{key} string, {ts} timestamp, delay double, fails int, goes_on boolean"
