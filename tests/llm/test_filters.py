@@ -374,3 +374,30 @@ def test_votes_by_chunk():
     v = np.sort(toxicity._hash_words(["scum", "moron"]))
     got = list(toxicity.votes(pa.array(["Scum and MORON, scum", None, "clean"]), v))
     assert got[0][0] == 3 and len(got[0][1]) == 2 and set(got[0][1]) == {0}
+
+
+def test_toxicity_edges(spark):
+    """Keys and labels without a value, repeated keys, columns with names that are used within, no rows."""
+    schema = "doc_id long, text string, score double, toxic int, _key long, _text string, held_out boolean"
+    rows = [(i, f"plain words number {i}" if i % 3 else f"you worthless scum moron {i}", 0.1, 0, 1, "x", True) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (None, "you worthless scum moron 63", None, None, None, None, None), (99, None, None, None, None, None, None)], schema)
+    labels = spark.createDataFrame([*((i, 1, int(i % 3 == 0)) for i in range(60)), (None, 1, 1), (7, None, None), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    m = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, m)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 67
+    by = {}
+    for r in got.collect():
+        assert by.setdefault(r["doc_id"], tuple(r)) == tuple(r)  # repeated rows alike
+    assert by[None][3] == 1 and by[None][1] is False and by[99][3] == 0 and all(by[i][3] == (i % 3 == 0) for i in range(60))
+    kept = toxicity.keep_clean(docs, m)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got.collect())
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_pii_edges(spark, pii_model):
+    schema = "doc_id long, text string, base string, proposed int, spans string, chosen int, _text string"
+    rows = [(1, "a@b.co", "x", 1, "y", 2, "z"), (1, "a@b.co", "x", 1, "y", 2, "z"), (None, "a@b.co", None, None, None, None, None), (2, None, None, None, None, None, None)]
+    got = sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in pii.report(spark.createDataFrame(rows, schema), pii_model).collect())
+    assert got == [(0, 1, "email:0:6"), (1, 1, "email:0:6"), (1, 1, "email:0:6"), (2, 0, "")]
+    assert pii.report(spark.createDataFrame([], schema), pii_model).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in pii.redact(spark.createDataFrame(rows, schema), pii_model).collect()) == [(0, "[email]"), (1, "[email]"), (1, "[email]"), (2, "")]
