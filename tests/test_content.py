@@ -85,3 +85,22 @@ def test_cache_goes_on_from_a_finished_stage(spark, tmp_path):
     cache.upsert(rows(("w", 1, "c")))
     assert {(r["url"], r["html"]) for r in cache.table().collect()} == {("u", "new"), ("v", "b"), ("w", "c")}
     assert not (tmp_path / "c.stage").exists()
+
+
+def test_features_of_a_stream(spark, tmp_path):
+    from webloom.streaming.results import scrape_stream
+
+    where = [str(tmp_path / x) for x in ("in", "out", "state")]
+    for k in range(2):
+        spark.createDataFrame([(k, f"<h1>Page {k}</h1>")], "page_id long, html string").write.mode("append").parquet(where[0])
+        scrape_stream(spark, *where).awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(where[1]).collect())) == [(0, "# Page 0"), (1, "# Page 1")]
+
+
+def test_assembly(spark):
+    from webloom.sources.pages import assemble
+
+    files = spark.createDataFrame([("10_b.md", "B"), ("2_a.md", "A"), ("2_a.xs.md", "a"), ("2_a.q.md", "q"), ("x.md", "X"), ("3_c.xs.md", "c")], "name string, text string")
+    assert [r["name"] for r in assemble(files).collect()] == ["2_a.md", "10_b.md"]
+    assert [r["name"] for r in assemble(files, condensed=True).collect()] == ["2_a.xs.md", "3_c.xs.md", "10_b.md"]
+    assert [r["name"] for r in assemble(files, ["B"]).collect()] == ["10_b.md"]

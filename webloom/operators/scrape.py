@@ -404,6 +404,8 @@ def features_of(html: str | None, wanted: Iterable[str], selection: Selection =
 
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than the cluster has cores (small files of one row group) dealt to all of them; any other as it is, without a shuffle."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

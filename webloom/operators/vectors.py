@@ -87,6 +87,15 @@ def cloud(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return d.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
 
 
+def radius(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One row (n, mean, most): the distances of a set of vectors from their centroid."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    dims = vectors.select(F.posexplode(x).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x"))  # a row a dimension
+    centre = dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda d: d["x"]).alias("centre"))
+    away = F.sqrt(F.aggregate(F.zip_with(x, "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    return vectors.crossJoin(F.broadcast(centre)).select(away.alias("r")).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.max("r").alias("most"))
+
+
 def without_near_copies(new: DataFrame, kb: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The new vectors whose best cosine with another row of the knowledge base is under least."""
     near = nearest(kb, new, key=key, vector=vector).where(F.col("sim") >= least).select(F.col("q").alias(key))

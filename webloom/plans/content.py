@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import adaptive, links, search
+from ..operators import adaptive, links, search, vectors
 from ..operators import scrape as S
 from ..sources import pages as P
 from ..streaming import telemetry as M
@@ -386,4 +386,18 @@ def embedding_stop(spark, d):
     return s.select("user_id", reason.alias("reason"), F.round(adaptive.quality_confidence(c("confidence"), c("validation"), c("user_id") % 2 == 0), 6).alias("quality"))
 
 
+@query("WITH c AS (SELECT list(m ORDER BY dim) AS centre FROM (SELECT i AS dim, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1)) SELECT count(*) AS n, round(avg(list_distance(embedding::DOUBLE[], centre)), 5) AS mean, round(max(list_distance(embedding::DOUBLE[], centre)), 5) AS most FROM embeddings, c")
+def cloud_radius(spark, d):
+    return vectors.radius(t(spark, d, "embeddings")).select("n", F.round("mean", 5).alias("mean"), F.round("most", 5).alias("most"))
+
+
+@query("WITH f AS (SELECT doc_id || '_' || lang AS base, doc_id AS number, doc_id % 3 = 0 AS short FROM documents WHERE lang <> 'es') SELECT base || CASE WHEN short THEN '.xs.md' ELSE '.md' END AS name, CAST(number AS BIGINT) AS number, md5(repeat('#', 20) || chr(10) || '# ' || base || CASE WHEN short THEN '.xs.md' ELSE '.md' END || chr(10) || repeat('#', 20) || chr(10) || chr(10) || CASE WHEN short THEN 'short' ELSE (SELECT text FROM documents d WHERE d.doc_id = f.number) END) AS digest FROM f WHERE base LIKE '%_en' OR base LIKE '%_de'")
+def docs_assembly(spark, d):
+    """Documents as files, every third with a condensed form, of two sections."""
+    docs = t(spark, d, "documents").where("lang <> 'es'")
+    base = F.concat_ws("_", "doc_id", "lang")
+    files = docs.select(F.concat(base, F.lit(".md")).alias("name"), "text").unionByName(docs.where("doc_id % 3 = 0").select(F.concat(base, F.lit(".xs.md")).alias("name"), F.lit("short").alias("text"))).unionByName(docs.select(F.concat(base, F.lit(".q.md")).alias("name"), "text"))
+    return P.assemble(files, ["_EN", "_de"], condensed=True).select("name", "number", F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -44,6 +44,20 @@ def sitemap_leaves(maps: DataFrame, root: str, most_depth: int = 5) -> DataFrame
     return out.distinct()
 
 
+def assemble(files: DataFrame, sections: list[str] = (), condensed: bool = False, name: str = "name", text: str = "text") -> DataFrame:
+    """(name, content, number) of documentation files in the order of the numbers that their names begin with (names without one last, then by name): files named `base.md`, `base.xs.md` (condensed) and `base.q.md` (left out), those whose base holds one of the sections, in any case. Condensed: the condensed file where there is one. content begins with a banner."""
+    base = F.get(F.split(F.col(name), r"\."), 0)
+    own = files.where(~F.col(name).endswith(".q.md") & F.col(name).rlike("^[0-9].*\\.md$")).withColumn("_base", base).withColumn("_short", F.col(name).endswith(".xs.md"))
+    if sections:
+        own = own.where(F.exists(F.array(*map(F.lit, sections)), lambda s: F.contains(F.lower("_base"), F.lower(s))))
+    rank = F.when(F.col("_short"), 1 if condensed else -1).otherwise(0)
+    first = F.regexp_extract(F.col(name), "^([0-9]+)(?:_|$|[.])", 1)
+    best = own.where(rank >= 0).groupBy("_base").agg(F.max(F.struct(rank.alias("r"), F.col(name).alias("name"), F.col(text).alias("text"), F.coalesce(F.nullif(first, F.lit("")).cast("long"), F.lit(999999)).alias("n"))).alias("m"))
+    bar = F.repeat(F.lit("#"), 20)
+    rows = best.select(F.struct("m.n", "_base").alias("_order"), F.col("m.name").alias("name"), F.concat(bar, F.lit("\n# "), F.col("m.name"), F.lit("\n"), bar, F.lit("\n\n"), F.col("m.text")).alias("content"))
+    return rows.orderBy("_order").select("name", "content", F.col("_order.n").alias("number"))
+
+
 def crawl_index(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(url, status) of an index of JSON lines."""
     from ..functions.urls import seed_glob
